@@ -90,6 +90,9 @@ def current_tabs(tabs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def parsed_json(column, schema: str):
-    """``column`` parsed by ``schema``; null where the text as a whole is not valid JSON."""
-    whole = F.try_parse_json(column)
-    return F.when(whole.isNotNull(), F.from_json(column, schema))
+    """``column`` parsed by ``schema``; null where the text as a whole is not one valid JSON value.
+
+    The text is read as the only element of an array, so that anything after the value shows.
+    """
+    wrapped = F.from_json(F.concat(F.lit("["), column, F.lit("]")), f"array<{schema}>")
+    return F.when((F.size(wrapped) == 1) & (F.trim(column) != ""), wrapped[0])
