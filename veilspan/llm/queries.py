@@ -5,8 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import leakage, mojibake
-from veilspan.session import durable, table
+from veilspan.llm import langid, leakage, mojibake, packing, splitting
+from veilspan.session import current_tabs, durable, parsed_json, table
+
+
+def _language_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tabs = table(spark, sf_dir, "tabs")
+    model = langid.fit(*langid.labelled_lines(tabs, "input", "lang"))
+    current = current_tabs(tabs, ["input", "lang"]).select(F.col("id").alias("tab_id"), F.col("input").alias("text"), "lang")
+    return langid.label_segments(current, model, "tab_id", "text", ["lang"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of each tab whose label is missing, wrong or hides a mix of languages."""
+    named = langid.label_language(F.col("lang"))
+    return _language_runs(spark, sf_dir).where(named.isNull() | (F.col("runs") > 1) | (named != F.col("seg_lang"))).select("tab_id", "seg_no", "seg_lang")
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of lines of every tab with its language, confidence and bounds."""
+    return _language_runs(spark, sf_dir).select("tab_id", "seg_no", "seg_lang", "confidence", "seg_start", "seg_end")
+
+
+def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each tab: that of its longest text, with the share-weighted confidence."""
+    size = F.col("seg_end") - F.col("seg_start")
+    return (
+        _language_runs(spark, sf_dir)
+        .groupBy("tab_id", "seg_lang")
+        .agg(F.sum(size).alias("n"), F.sum(size * F.col("confidence")).alias("c"))
+        .groupBy("tab_id")
+        .agg(F.max(F.struct("n", "seg_lang", "c")).alias("top"), F.sum("n").alias("total"))
+        .select("tab_id", F.col("top.seg_lang").alias("lang"), F.round(F.col("top.c") / F.greatest("total", F.lit(1)), 6).alias("confidence"))
+    )
+
+
+def _tab_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tabs = current_tabs(table(spark, sf_dir, "tabs"), ["input", "pdf_document_json"])
+    return tabs.select(
+        F.col("id").alias("tab_id"),
+        F.inline(
+            F.array(
+                F.struct(F.lit("input").alias("item_field"), F.col("input").alias("text")),
+                F.struct(F.lit("pdf_document_json").alias("item_field"), parsed_json(F.col("pdf_document_json"), "struct<text:string>")["text"].alias("text")),
+            )
+        ),
+    )
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every tab text over 4,000 characters."""
+    return splitting.split_items(_tab_items(spark, sf_dir), ["tab_id", "item_field"], "text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that had to be cut: one row for each first piece."""
+    return p4_pieces(spark, sf_dir).where("piece_no = 1 AND pieces > 1").select("tab_id", "item_field")
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of every piece of a document over capacity."""
+    return packing.fill_containers(table(spark, sf_dir, "documents"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,5 +99,23 @@ dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: arr
 ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k+12], ' '))) AS g FROM i WHERE len(w) >= 13)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
-QUERIES = {"p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_restored": p8_restored}
-ORACLES = {"p7_found": P7_SQL}
+P4_SQL = """
+WITH cur AS (SELECT id, any_value(input) AS input, any_value(pdf_document_json) AS pj FROM
+  (SELECT *, rank() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rk FROM tabs) WHERE rk = 1 GROUP BY id)
+SELECT id AS tab_id, 'input' AS item_field FROM cur WHERE length(input) > 4000
+UNION ALL
+SELECT id, 'pdf_document_json' FROM (SELECT id, CASE WHEN json_valid(pj) THEN json_extract_string(pj, '$.text') END AS t FROM cur) WHERE length(t) > 4000"""
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_segments": p1_segments,
+    "p1_labels": p1_labels,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p6_containers": p6_containers,
+    "p7_found": p7_found,
+    "p7_matches": p7_matches,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
+}
+ORACLES = {"p4_found": P4_SQL, "p7_found": P7_SQL}
