@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import langid, leakage, mojibake, packing, splitting
+from veilspan.llm import langid, leakage, lookalike, mojibake, packing, splitting
 from veilspan.session import current_tabs, durable, parsed_json, table
 
 
@@ -40,6 +40,27 @@ def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match values of one tab, and tab inputs, that differ as stored but read the same."""
+    matches = table(spark, sf_dir, "redact_matches").where("tab_id IS NOT NULL").select("tab_id", "match_id", "value")
+    tabs = current_tabs(table(spark, sf_dir, "tabs"), ["input"]).where(F.col("input").rlike(r"[\p{L}\p{N}]"))
+    one = lookalike.same_pairs(matches, ["tab_id"], "match_id", "value").select(F.lit("match").alias("rec_type"), "rec_a", "rec_b")
+    two = lookalike.same_pairs(tabs, [], "id", "input").select(F.lit("tab").alias("rec_type"), "rec_a", "rec_b")
+    return one.unionByName(two)
+
+
+def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct match value with its consistent form."""
+    values = table(spark, sf_dir, "redact_matches").where("value IS NOT NULL").select("value").distinct()
+    return lookalike.consistent_form(values.withColumn("text", F.col("value")), ["value"], "text").select("value", "form")
+
+
+def p3_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every current tab input."""
+    tabs = current_tabs(table(spark, sf_dir, "tabs"), ["input"])
+    return lookalike.consistent_form(tabs, ["id"], "input").select(F.col("id").alias("tab_id"), "form")
+
+
 def _tab_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     tabs = current_tabs(table(spark, sf_dir, "tabs"), ["input", "pdf_document_json"])
     return tabs.select(
@@ -110,6 +131,9 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
     "p1_labels": p1_labels,
+    "p3_found": p3_found,
+    "p3_values": p3_values,
+    "p3_tabs": p3_tabs,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_containers": p6_containers,
