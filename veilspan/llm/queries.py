@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import langid, leakage, lookalike, mojibake, packing, splitting
+from veilspan.llm import langid, leakage, lookalike, mojibake, packing, pii, splitting
 from veilspan.session import current_tabs, durable, parsed_json, table
 
 
@@ -84,6 +84,28 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece_no = 1 AND pieces > 1").select("tab_id", "item_field")
 
 
+def _pii(spark: SparkSession, sf_dir: str, redact: bool) -> DataFrame:
+    tabs = durable(current_tabs(table(spark, sf_dir, "tabs"), ["input", "output", "matches_json"]), "current")
+    found = table(spark, sf_dir, "redact_matches").where("tab_id IS NOT NULL AND value IS NOT NULL").select(F.col("tab_id").alias("key"), pii.span_kind(F.col("kind")).alias("kind"), "value", "start", "end")
+    own = tabs.select("id", F.inline(parsed_json(F.col("matches_json"), "array<struct<kind:string,value:string,start:int,end:int>>")))
+    own = own.where("value IS NOT NULL").select(F.col("id").alias("key"), pii.span_kind(F.col("kind")).alias("kind"), "value", "start", "end")
+    spans = durable(found.unionByName(own).distinct(), "spans")
+    texts = tabs.where(F.length("input") > 0).select(F.col("id").alias("key"), F.col("input").alias("text"))
+    detector = pii.fit(*pii.training_texts(texts, spans), pii.count_words(texts, spans))
+    fields = F.array(*[F.struct(F.lit(c).alias("tab_field"), F.col(c).alias("text")) for c in ("input", "output")])
+    return pii.find_spans(tabs.select(F.col("id").alias("tab_id"), F.inline(fields)), detector, ["tab_id", "tab_field"], "text", redact)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of personal data in the current inputs and outputs."""
+    return _pii(spark, sf_dir, False).select("tab_id", "tab_field", "pii_kind", "pii_start", "pii_end")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current inputs and outputs with typed placeholders in place of the personal data."""
+    return _pii(spark, sf_dir, True).select("tab_id", "tab_field", "redacted", "spans")
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document, or of every piece of a document over capacity."""
     return packing.fill_containers(table(spark, sf_dir, "documents"))
@@ -136,6 +158,8 @@ QUERIES = {
     "p3_tabs": p3_tabs,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_containers": p6_containers,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
