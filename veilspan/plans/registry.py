@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veilspan.plans import coverage_queries
+from veilspan.plans import coverage_queries, span_queries
 
-_MODULES = [coverage_queries]
+_MODULES = [coverage_queries, span_queries]
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracles() -> dict:
 
 
 def flagship(spark, sf_dir):
-    return coverage_queries.p2_found(spark, sf_dir)
+    return span_queries.QUERIES["redact_number"](spark, sf_dir)
