@@ -65,7 +65,7 @@ def blanks(pattern: str) -> str:
 def java_pattern(pattern: str) -> str:
     """The pattern for Java: its ``\\b`` is Unicode-aware, so ASCII look-arounds take its place.
 
-    Where the neighbour in the pattern is a word character or digit, one side is enough.
+    Where the neighbour in the pattern is always there and always a word character, one side is enough.
     """
     word, out, i = "[A-Za-z0-9_]", [], 0
     p = blanks(pattern)
@@ -73,9 +73,9 @@ def java_pattern(pattern: str) -> str:
     while i < len(p):
         if p.startswith(r"\b", i) and (i == 0 or p[i - 1] != "\\"):
             after, before = p[i + 2 : i + 4], p[:i]
-            if re.match(r"[A-Za-z0-9]|\[[A-Z0-9]|\\d", after):
+            if re.match(r"(?:[A-Za-z0-9]|\\d|\[[0-9]-[0-9]\])(?![?*])", p[i + 2 :]):
                 out.append(rf"(?<!{word})")
-            elif re.search(r"(?:\\d|[0-9A-Za-z]|\[[A-Za-z0-9_-]+\])(?:\{[0-9,]+\}|\+)?\)?$", before) and (not after or after[0] in "|)"):
+            elif re.search(r"(?:\\d|[0-9A-Za-z]|\[(?:A-Z|a-z|[0-9]-[0-9]|_)+\])(?:\{[0-9,]+\}|\+)?\)?$", before) and (not after or after[0] in "|)"):
                 out.append(rf"(?!{word})")
             else:
                 out.append(both)

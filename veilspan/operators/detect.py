@@ -91,7 +91,8 @@ def user_rule_spans(text: Column, rule: UserRule) -> Column:
         return empty_spans()
     pattern = f"(?iu){java_pattern(rule.pattern)}" if rule.mode == "regex" else literal(rule.pattern)
     found = F.filter(_spans(hits(text, pattern), f"custom-{rule.id}", rule.kind), lambda s: s["end"] > s["start"])
-    return F.coalesce(found, empty_spans())
+    there = text.rlike(pattern) if rule.mode == "regex" else F.contains(text, F.lit(rule.pattern))
+    return F.when(there, found).otherwise(empty_spans())
 
 
 def user_rules(rules: Iterable[UserRule]) -> Detector:

@@ -18,24 +18,26 @@ def utf8_offset(text: Column, at: Column) -> Column:
     return F.octet_length(before(text, at))
 
 
+def _units(text: Column) -> Column:
+    """UTF-16 units of a text."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
 def utf16_offset(text: Column, at: Column) -> Column:
-    """Code points plus one for each beyond the basic plane (four bytes in UTF-8)."""
-    head = before(text, at)
-    return F.length(head) + F.length(F.regexp_replace(head, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return _units(before(text, at))
+
+
+def _head(text: Column, at: Column) -> Column:
+    """The text before a byte offset; a character cut through counts as one replacement character."""
+    n = F.greatest(F.least(at, F.octet_length(text)), F.lit(0))
+    return F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), F.lit(1), n).cast("string"))
 
 
 def utf8_to_code_points(text: Column, at: Column) -> Column:
     """Code points before a byte offset; inside a character, that character counts as passed."""
-    data = F.encode(text, "UTF-8")
-    n = F.greatest(F.least(at, F.octet_length(text)), F.lit(0))
-    head = F.substring(data, F.lit(1), n)
-    # Every byte that does not continue a character starts one.
-    return F.when(n <= 0, 0).otherwise((F.length(F.regexp_replace(F.hex(head), "(?:([0-7C-F][0-9A-F])|([89AB][0-9A-F]))", "$1")) / 2).cast("int"))
+    return F.length(_head(text, at))
 
 
 def utf8_to_utf16(text: Column, at: Column) -> Column:
     """UTF-16 units before a byte offset; inside a character one unit is counted for it."""
-    data = F.hex(F.substring(F.encode(text, "UTF-8"), F.lit(1), F.greatest(F.least(at, F.octet_length(text)), F.lit(0))))
-    starts = (F.length(F.regexp_replace(data, "(?:([0-7C-F][0-9A-F])|([89AB][0-9A-F]))", "$1")) / 2).cast("int")
-    pairs = (F.length(F.regexp_replace(data, "(?:(F[0-9A-F](?:[89AB][0-9A-F]){3})|([0-9A-F]{2}))", "$1")) / 8).cast("int")
-    return starts + pairs
+    return _units(_head(text, at))
