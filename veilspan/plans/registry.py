@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veilspan.plans import coverage_queries, span_queries
+from veilspan.plans import coverage_queries, span_queries, table_queries
 
-_MODULES = [coverage_queries, span_queries]
+_MODULES = [coverage_queries, span_queries, table_queries]
 
 
 def queries() -> dict:
