@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspan.catalog import RULES, Rule, TAXONOMY, UserRule, blanks
 from veilspan.operators import chunk, detect, offsets, report, spans, validate, verify
 from veilspan.sources.files import load_tabs
-from veilspan.session import table
+from veilspan.session import spread, table
 
 #: Texts with hits of rules that the test tables lack.
 FIXTURES = [
@@ -35,7 +35,7 @@ def quoted(text: str) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.unionByName(spark.createDataFrame(FIXTURES, "doc_id long, text string"))
 
 
@@ -383,7 +383,7 @@ def stored_rule_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspan.sources.files import load_rules
 
     rules = load_rules(table(spark, sf_dir, "custom_rules"))
-    found = detect.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), [detect.user_rules(rules)])
+    found = detect.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), [detect.user_rules(rules)])
     rows = found.select(F.inline("matches"))
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
@@ -398,7 +398,7 @@ SELECT kind, count(*) AS n, sum(list_sum(list_transform(g[1:i], lambda x: length
 
 def category_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule spans per source and kind."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     rows = detect.detect(docs, [detect.built_in()]).select("source", F.inline("matches"))
     return report.category_counts(rows, "kind", "source")
 

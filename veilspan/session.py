@@ -47,6 +47,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files give fewer tasks than there are cores.
+
+    Only small inputs are moved: a table that fills the cores by itself stays where it is, so
+    CPU-bound stages gain and large scans pay no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder; one is set only where none is configured."""
     named = spark.conf.get("spark.checkpoint.dir", None)
