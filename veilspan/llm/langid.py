@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.llm.sampling import hash_sample
+
 LANGS = ["en", "de", "fr", "es", "pt", "it", "nl", "ru", "ko", "ja"]
 
 #: Codes, English names and native names of the languages.
@@ -320,15 +322,12 @@ def _viterbi(ev: np.ndarray) -> np.ndarray:
 
 def labelled_lines(docs: DataFrame, text: str, lang: str, limit: int = TRAIN_LINES) -> tuple[list[str], list[str]]:
     """At most ``limit`` labelled lines, chosen by hash of the line; a repeated line counts once."""
-    rows = (
+    lines = (
         docs.where(F.col(text).isNotNull())
         .select(label_language(F.col(lang)).alias("label"), F.explode(F.split(F.col(text), "\n")).alias("line"))
         .where("label IS NOT NULL AND length(line) BETWEEN 12 AND 2000")
-        .select("label", "line")
-        .orderBy(F.xxhash64("line"), "label")
-        .limit(limit)
-        .collect()
     )
+    rows = hash_sample(lines, ["line", "label"], limit).collect()
     return [r.line for r in rows], [r.label for r in rows]
 
 

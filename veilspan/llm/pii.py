@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import boost, lookalike
+from veilspan.llm.sampling import hash_sample
 
 KINDS = ["private_person", "private_email", "private_phone", "account_number", "private_address"]
 PERSON, EMAIL, PHONE, ACCOUNT, ADDRESS = range(5)
@@ -542,16 +544,17 @@ def training_texts(texts: DataFrame, spans: DataFrame) -> tuple[list[str], list[
     ``texts`` has key and text, ``spans`` key, kind, value, start and end. Twice as many texts
     are drawn by hash, since some have no span; a span counts if the text has its value there.
     """
-    drawn = texts.where(F.length("text").between(1, TRAIN_LENGTH)).orderBy(F.xxhash64("key"), "key").limit(2 * TRAIN_TEXTS)
+    drawn = hash_sample(texts.where(F.length("text").between(1, TRAIN_LENGTH)), ["key", "text"], 2 * TRAIN_TEXTS)
+    # The drawn texts are bounded by number and length, and so is their broadcast.
     held = (
         spans.join(F.broadcast(drawn), "key")
         .where((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("value")))
+        .select("key", "text", "start", "end", "kind")
         .groupBy("key")
         .agg(F.first("text").alias("text"), F.collect_set(F.struct("start", "end", "kind")).alias("spans"))
-        .orderBy(F.xxhash64("key"), "key")
-        .limit(TRAIN_TEXTS)
         .collect()
     )
+    held = sorted(held, key=lambda r: zlib.crc32(r.key.encode()))[:TRAIN_TEXTS]
     return [r.text for r in held], [sorted((x.start, x.end, x.kind) for x in r.spans) for r in held]
 
 

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import langid, leakage, lookalike, mojibake, packing, pii, splitting
-from veilspan.session import current_tabs, durable, parsed_json, table
+from veilspan.session import current_tabs, durable, parsed_json, spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _language_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,23 +112,23 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document, or of every piece of a document over capacity."""
-    return packing.fill_containers(table(spark, sf_dir, "documents"))
+    return packing.fill_containers(_documents(spark, sf_dir))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 13 consecutive words of an item, with the item."""
-    found = leakage.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = leakage.matches(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
     return found.where("match_type = 'exact'").select("doc_id", "item_id")
 
 
 def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact and proximity matches with the longest run and the most aligned words."""
-    return leakage.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.matches(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a garbled stretch, with the restored text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return mojibake.repair_documents(docs, mojibake.corpus_pairs(docs)).select("doc_id", "restored", "stretches", "layers", "lost")
 
 
