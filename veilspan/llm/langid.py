@@ -61,6 +61,8 @@ ORDERS = (1, 2, 3, 4)
 #: Labelled lines the classifier is fitted on, at most.
 TRAIN_LINES = 16_000
 EPOCHS = 3
+#: Line updates a fit makes at least, so that a few lines are fitted as well.
+LEAST_UPDATES = 6000
 RATE = 0.05
 #: Share of held-out lines that must be right among those not rejected.
 ACCEPT = 0.995
@@ -137,20 +139,36 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket[inside], place[inside], per_line
 
 
-#: Scripts a language cannot do without, as code point ranges.
-SCRIPTS = {"ko": [(0x1100, 0x1200), (0x3130, 0x3190), (0xAC00, 0xD7A4)], "ja": [(0x3041, 0x3100), (0x3400, 0xA000), (0xFF66, 0xFFA0)], "ru": [(0x400, 0x500)]}
+#: Code point ranges of letters by script.
+SCRIPTS = {
+    "latin": [(0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x250), (0xFF21, 0xFF5B)],
+    "cyrillic": [(0x400, 0x500)],
+    "hangul": [(0x1100, 0x1200), (0x3130, 0x3190), (0xAC00, 0xD7A4)],
+    "kana": [(0x3041, 0x3100), (0xFF66, 0xFFA0)],
+    "han": [(0x3400, 0xA000)],
+}
 
 
 def scripts(text: str, n: int) -> np.ndarray:
-    """Per line and language: whether the line has a letter of a script the language is written in."""
-    ok = np.ones((n, len(LANGS)), bool)
+    """Per line and language: whether the line's letters let it be in the language.
+
+    Korean needs Hangul, Japanese kana or Han, Russian Cyrillic; the others need at least as
+    many Latin as Cyrillic letters, and three for each East Asian one.
+    """
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     line = np.cumsum(raw == 10)
-    for lang, ranges in SCRIPTS.items():
+    count = {}
+    for name, ranges in SCRIPTS.items():
         hit = np.zeros(len(raw), bool)
         for a, b in ranges:
             hit |= (raw >= a) & (raw < b)
-        ok[:, LANGS.index(lang)] = np.bincount(line[hit], minlength=n)[:n] > 0
+        count[name] = np.bincount(line[hit], minlength=n)[:n]
+    east = count["hangul"] + count["kana"] + count["han"]
+    ok = np.repeat(((count["latin"] >= count["cyrillic"]) & (count["latin"] >= 3 * east))[:, None], len(LANGS), 1)
+    ok[:, LANGS.index("ko")] = count["hangul"] > 0
+    ok[:, LANGS.index("ja")] = count["kana"] + count["han"] > 0
+    ok[:, LANGS.index("ru")] = count["cyrillic"] > 0
+    ok[~ok.any(1)] = True
     return ok
 
 
@@ -191,8 +209,9 @@ def _sgd(buckets: list[np.ndarray], labels: np.ndarray, seed: int) -> tuple[np.n
     share = np.bincount(labels, minlength=len(LANGS))
     weight = np.minimum(4.0, np.sqrt(share.max() / np.maximum(share, 1))).astype(np.float32)
     n, size = len(labels), 32
-    steps, step = EPOCHS * -(-n // size), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_UPDATES // n))
+    steps, step = epochs * -(-n // size), 0
+    for _ in range(epochs):
         order = rng.permutation(n)
         for a in range(0, n, size):
             rows = order[a : a + size]
