@@ -20,7 +20,11 @@ BLANKS = r"\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205
 
 @dataclass(frozen=True)
 class Rule:
-    """A detection rule; ``hint`` is a cheap necessary condition on a text, as a pattern."""
+    """A detection rule.
+
+    ``hint`` is a cheap necessary condition on a text, as a pattern; ``first`` the characters a
+    hit may start with, as a class body, so that a search skips most places after one look.
+    """
 
     prefix: str
     kind: str
@@ -28,19 +32,21 @@ class Rule:
     ignore_case: bool = False
     validator: str | None = None
     hint: str | None = None
+    first: str | None = None
 
     @property
     def java(self) -> str:
-        return ("(?i)" if self.ignore_case else "") + java_pattern(self.pattern)
+        guard = f"(?=[{blanks(self.first, True)}])" if self.first else ""
+        return ("(?i)" if self.ignore_case else "") + guard + f"(?:{java_pattern(self.pattern)})"
 
     @property
     def re2(self) -> str:
         return ("(?i)" if self.ignore_case else "") + blanks(self.pattern)
 
 
-def blanks(pattern: str) -> str:
+def blanks(pattern: str, inside: bool = False) -> str:
     """``\\s`` and ``\\S`` spelled out, inside and outside of character classes; [\\s\\S] stays."""
-    out, i, inside = [], 0, False
+    out, i = [], 0
     while i < len(pattern):
         two = pattern[i : i + 2]
         if pattern.startswith(r"[\s\S]", i):
@@ -97,6 +103,7 @@ RULES = [
         False,
         None,
         "[0-9]{4}",
+        r"0-9+(\s.-",
     ),
     Rule("private-url", "private_url", r"\b(?:https?://|www\.)[A-Z0-9._~:/?#\[\]@!$&'()*+,;=%-]*[A-Z0-9/#]", True, None, "(?i)://|www[.]"),
     Rule(
@@ -107,6 +114,7 @@ RULES = [
         True,
         None,
         "[0-9]{2}",
+        "0-9jfmasond",
     ),
     Rule(
         "secret",
@@ -118,10 +126,10 @@ RULES = [
         None,
         "sk_|AKIA|ASIA|gh[pousr]_|github_pat_|eyJ|-----BEGIN",
     ),
-    Rule("credit-card", "account_number", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", False, "luhn", "[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"),
-    Rule("kr-registration", "account_number", r"\b[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])-?[1-8][0-9]{6}\b", False, "kr_registration", "[0-9]{7}"),
-    Rule("jp-my-number", "account_number", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", False, "jp_my_number", "[0-9]{4}[ -]?[0-9]{4}"),
-    Rule("jp-corporate", "account_number", r"\b[1-9][0-9]{12}\b", False, "jp_corporate", "[0-9]{13}"),
+    Rule("credit-card", "account_number", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", False, "luhn", "[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "0-9"),
+    Rule("kr-registration", "account_number", r"\b[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])-?[1-8][0-9]{6}\b", False, "kr_registration", "[0-9]{7}", "0-9"),
+    Rule("jp-my-number", "account_number", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", False, "jp_my_number", "[0-9]{4}[ -]?[0-9]{4}", "0-9"),
+    Rule("jp-corporate", "account_number", r"\b[1-9][0-9]{12}\b", False, "jp_corporate", "[0-9]{13}", "0-9"),
     Rule("jp-postal", "private_address", r"〒[ \t]*[0-9]{3}-?[0-9]{4}\b", False, None, "〒"),
 ]
 

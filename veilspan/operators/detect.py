@@ -116,8 +116,7 @@ def detect_arrow(docs: DataFrame, key: str, text: str = "text", rules: Iterable[
     The alternative to the native detector for very long texts with many hits; hits are not
     validated here.
     """
-    held = [(r.prefix, r.kind, blanks(r.pattern).replace(r"\x{", "\\u").replace("}", "}"), r.ignore_case) for r in rules]
-    held = [(p, k, re.sub(r"\\u([0-9A-F]{4})\}", r"\\u\1", q), i) for p, k, q, i in held]
+    held = [(r.prefix, r.kind, re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", blanks(r.pattern)), r.ignore_case) for r in rules]
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -76,11 +76,12 @@ def queued(docs: DataFrame, text: str, now: Column) -> DataFrame:
 
 
 def started(tasks: DataFrame, now: Column) -> DataFrame:
-    """The oldest queued task set running, unless one runs; a table of tasks is small by nature."""
-    state = tasks.agg(F.max((F.col("status") == "running").cast("int")).alias("busy"), F.min(F.when(F.col("status") == "queued", F.struct("queued_at", "id"))).alias("next"))
-    turn = (F.coalesce(F.col("busy"), F.lit(0)) == 0) & (F.col("id") == F.col("next.id"))
-    joined = tasks.crossJoin(F.broadcast(state))  # one row
-    return joined.select(*[F.when(turn, F.lit("running")).otherwise(F.col("status")).alias(c) if c == "status" else F.when(turn, now).otherwise(F.col(c)).alias(c) if c == "started_at" else F.col(c) for c in tasks.columns])
+    """The oldest queued task set running, unless one runs. Two values are looked up first: is one busy, which is next."""
+    state = tasks.agg(F.max(F.col("status") == "running").alias("busy"), F.min(F.when(F.col("status") == "queued", F.struct("queued_at", "id"))).alias("next")).first()
+    if state.busy or state.next is None:
+        return tasks
+    turn = F.col("id") == F.lit(state.next.id)
+    return tasks.withColumns({"status": F.when(turn, "running").otherwise(F.col("status")), "started_at": F.when(turn, now).otherwise(F.col("started_at"))})
 
 
 def completed(tasks: DataFrame, results: DataFrame, now: Column) -> DataFrame:

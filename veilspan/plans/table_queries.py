@@ -151,8 +151,7 @@ def active_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tabs with a queued or running task, and how many tasks are active in all."""
     r = _results(spark, sf_dir)
     t = load_tabs(table(spark, sf_dir, "tabs")).select(F.col("id").alias("tab_id"))
-    busy = report.active_documents(t, "tab_id", r)
-    return busy.crossJoin(F.broadcast(report.active_count(r)))  # one row
+    return report.active_documents(t, "tab_id", r).withColumn("active", F.lit(report.active_count(r).first().active))
 
 
 _ACTIVE_SQL = f"WITH {_RES_SQL} SELECT DISTINCT id AS tab_id, (SELECT count(*) FROM res WHERE status IN ('queued', 'running')) AS active FROM tabs WHERE id IN (SELECT tab_id FROM res WHERE status IN ('queued', 'running'))"
@@ -335,9 +334,6 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, rows.select("match_id", "kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-_STREAM_SQL = None
-
-
 def _stream_sql() -> str:
     from veilspan.catalog import RULES
     from veilspan.plans.span_queries import rule_sql
