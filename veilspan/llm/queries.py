@@ -96,8 +96,11 @@ def _pii(spark: SparkSession, sf_dir: str, redact: bool) -> DataFrame:
     spans = durable(found.unionByName(own).distinct(), "spans")
     texts = tabs.where(F.length("input") > 0).select(F.col("id").alias("key"), F.col("input").alias("text"))
     detector = pii.fit(*pii.training_texts(texts, spans), pii.count_words(texts, spans))
-    fields = F.array(*[F.struct(F.lit(c).alias("tab_field"), F.col(c).alias("text")) for c in ("input", "output")])
-    return pii.find_spans(tabs.select(F.col("id").alias("tab_id"), F.inline(fields)), detector, ["tab_id", "tab_field"], "text", redact)
+    # An output that equals its input is searched once.
+    one = lambda fields, c: F.struct(F.array(*map(F.lit, fields)).alias("fields"), F.col(c).alias("text"))
+    items = F.when(F.col("input").eqNullSafe(F.col("output")), F.array(one(["input", "output"], "input"))).otherwise(F.array(one(["input"], "input"), one(["output"], "output")))
+    found = pii.find_spans(tabs.select(F.col("id").alias("tab_id"), F.inline(items)), detector, ["tab_id", "fields"], "text", redact)
+    return found.select("tab_id", F.explode("fields").alias("tab_field"), *[c for c in found.columns if c not in ("tab_id", "fields")])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
