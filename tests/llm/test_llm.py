@@ -143,6 +143,37 @@ def test_leaks_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got.where("match_type = 'exact'").collect()} == want and want
 
 
+def test_near_leaks_against_brute_force(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))) for i, n in enumerate([12, 13, 20, 40, 60, 30])]
+    docs = []
+    for i in range(120):
+        w = rng.choice(items)[1].split()
+        a = rng.randint(0, max(0, len(w) - 16))
+        part = w[a : a + 16]
+        for k in rng.sample(range(len(part)), rng.randint(0, 5)):
+            part[k] = f"w{rng.randint(0, 400)}"
+        docs.append((i, " ".join(part)))
+    docs += [(900, items[3][1]), (900, "another text of the same id"), (901, None), (902, "")]
+    want = {}
+    for d, t in docs:
+        for i, q in items:
+            x, y = (t or "").split(), q.split()
+            for delta in range(-len(y), len(x)):
+                m = [0 <= k + delta < len(x) and x[k + delta] == w for k, w in enumerate(y)]
+                hits = max((sum(m[k : k + 13]) for k in range(len(y) - 12)), default=0)
+                run = max(map(len, "".join("01"[b] for b in m).split("0")))
+                if hits >= 10:
+                    old = want.get((d, i), (0, 0))
+                    want[d, i] = (max(run, old[0]), max(hits, old[1]))
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = leakage.matches(d, q).collect()
+    assert {(r.doc_id, r.item_id): (r.run, r.hits) for r in got} == want and len(got) == len(want)
+    assert all((r.match_type == "exact") == (r.run >= 13) for r in got) and {r.match_type for r in got} == {"exact", "proximity"}
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, q).collect()} == {(r.doc_id, r.item_id) for r in got if r.run >= 13}
+    assert leakage.gram_size(13, 10) == (3, 2) and leakage.gram_size(13, 13) == (13, 1)
+
+
 # ---- encodings
 
 def test_round_trips():

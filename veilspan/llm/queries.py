@@ -120,8 +120,7 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 13 consecutive words of an item, with the item."""
-    found = leakage.matches(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
-    return found.where("match_type = 'exact'").select("doc_id", "item_id")
+    return leakage.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
