@@ -57,6 +57,16 @@ def test_bio_spans_and_bridges():
     assert model.label_names('{"id2label": {"1": "B-A", "0": "O", "x": "?"}}') == ["O", "B-A"]
 
 
+def test_model_spans_of_long_texts(spark, tmp_path):
+    from veilspan.plans import table_queries
+
+    rows = [(1, "met Ada today"), (2, "we met them " * 400 + "and Ada left"), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (table_queries.model_bio_spans, table_queries.model_bioes_spans):
+        got = {(r.doc_id, r.value[:3], r.start) for r in query(spark, str(tmp_path)).collect()}
+        assert got == {(1, "Ada", 4), (2, "Ada", 4804)}
+
+
 def test_model_detector(spark):
     def runner():
         import numpy as np

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions import scalar
 from veilspan.operators import chunk, model, pdfgeo, report, spans
 from veilspan.plans.span_queries import _TABS_SQL, _label_sql, quoted
-from veilspan.session import parsed_json, shared_dir, table
+from veilspan.session import parsed_json, shared_dir, spread, table
 from veilspan.sources import sinks
 from veilspan.sources.files import load_history, load_tabs
 from veilspan.streaming import stream
@@ -278,26 +280,32 @@ SELECT n.id, n.page_index, CASE WHEN h.doc_id IS NULL THEN 'copy' ELSE 'cover' E
 _LABELS = ["O", "B-PER", "I-PER", "B-email address", "I-email address"]
 
 
-def _token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their words as tokens and logits that peak where words look like names or addresses."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text").between(1, 600)).select("doc_id", "text")
-    from veilspan.operators.detect import hits
+def _word_runner() -> model.LogitsRunner:
+    """Words as tokens, and logits that peak where they look like names or addresses."""
+    word, name, upper = re.compile(r"[^ \t\n\x0b\f\r]+"), re.compile("[A-Z][a-z]+[\x85\u2028\u2029]?"), re.compile("[A-Z]")
 
-    tokens = F.transform(hits(F.col("text"), r"\S+"), lambda h: F.struct(h["start"].alias("start"), (h["start"] + F.length(h["value"])).alias("end")))
-    values = F.transform(hits(F.col("text"), r"\S+"), lambda h: h["value"])
-    score = lambda ok: F.when(ok, 3.0).otherwise(0.0).cast("float")
-    row = lambda v: F.array(F.lit(1.0).cast("float"), score(v.rlike("^[A-Z][a-z]+$")), score(v.rlike("^[A-Z]")), score(v.contains("@")), score(v.contains(".")))
-    return docs.select("doc_id", "text", tokens.alias("token_offsets"), F.transform(values, row).alias("logits"))
+    def run(text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+        found = [(m.span(), m.group()) for m in word.finditer(text)]
+        peaks = [(1, 3 * bool(name.fullmatch(w)), 3 * bool(upper.match(w)), 3 * ("@" in w), 3 * ("." in w)) for _, w in found]
+        return [at for at, _ in found], np.array(peaks, np.float32).reshape(-1, 5)
+
+    return run
+
+
+def _model_spans(spark: SparkSession, sf_dir: str, scheme: str, names: list[str]) -> DataFrame:
+    """Spans of all documents; tokens and logits live one text at a time, so long texts need no room in a batch."""
+    docs = spread(table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", "text"))
+    return model.detect_model(docs, _word_runner, "doc_id", scheme=scheme, names=names)
 
 
 def model_bio_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of a begin-inside classifier decoded from stored logits."""
-    return model.decode_rows(_token_rows(spark, sf_dir), "doc_id", "bio", _LABELS)
+    """Spans of a begin-inside classifier decoded from its logits."""
+    return _model_spans(spark, sf_dir, "bio", _LABELS)
 
 
 def model_bioes_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with begin-inside-end-single labels."""
-    return model.decode_rows(_token_rows(spark, sf_dir), "doc_id", "bioes", ["O", "B-private_person", "E-private_person", "S-private_email", "I-private_person"])
+    return _model_spans(spark, sf_dir, "bioes", ["O", "B-private_person", "E-private_person", "S-private_email", "I-private_person"])
 
 
 # ------------------------------------------------------------------ streams
