@@ -194,3 +194,13 @@ def test_legacy_words_and_losses(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in mojibake.repair_documents(df, mojibake.corpus_pairs(df)).collect()}
     assert set(got) == {90, 91} and got[90].restored == "Rückfragen" and got[91].lost == 1
+
+
+def test_garbled_copies_and_sources(spark):
+    right = ["Проверка связи уже готова", "Готова ли проверка связи", "Уже готова проверка", "Связи уже готова проверка"]
+    copied, source = "Проверка готова", [f"Проверка связи готова {i}" for i in range(30)]
+    bad = lambda t: t.encode("cp1251").decode("cp1252")
+    texts = [f"{t} {i}" for t in right for i in range(10)] + [bad(copied)] * 40 + [bad(t) for t in source]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in mojibake.repair_documents(df, mojibake.corpus_pairs(df)).collect()}
+    assert got == {40 + i: t for i, t in enumerate([copied] * 40 + source)}

@@ -38,6 +38,8 @@ EAST_ASIAN = {"euc-kr", "cp932", "euc-jp"}
 MAX_LAYERS = 4
 #: Least drop of the pair cost for which a word is restored; the second where its shape improves too.
 MARGIN, MARGIN_SHAPE = 1.5, 0.8
+#: Drop of the garbling cost from which a word is no evidence of how the corpus is spelled.
+SUSPECT = 1.5
 
 _UTF8 = re.compile(
     rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
@@ -154,6 +156,7 @@ _RUNS = {name: _run_pattern(name) for name in READ_AS}
 #: Any pair that could be UTF-8 under some page: most texts fail this one search.
 _ANY_RUN = re.compile("|".join(p.pattern for p in _RUNS.values()))
 _WIDE_RUN = re.compile(r"[^\x00-\x7f\ufffd]{2,}")
+_WORD = re.compile(r"[^ \t\r\n]+")
 #: A word worth the legacy trial: a character outside ASCII and the common East Asian blocks.
 _LEGACY_WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uff60\ufffd][^ \t\r\n]*")
 
@@ -211,10 +214,44 @@ def _wide_layer(text: str, read_as: str) -> tuple[str, int, float]:
 _FOLD = {**{c: "漢" for c in range(0x4E00, 0xA000)}, **{c: "한" for c in range(0xAC00, 0xD7A4)}, **{c: "か" for c in range(0x3041, 0x3100)}, **{c: "0" for c in range(0x30, 0x3A)}}
 
 
+def _trials(word: str) -> Iterator[tuple[tuple[str, str], str, float]]:
+    """((read as, written in), restored word, drop of the garbling cost) of every reading that looks no worse."""
+    shape, plain = garbling_cost(word), sum(c.isascii() and c.isalnum() for c in word)
+    for pair in LEGACY_PAIRS:
+        page = _page(pair[0])
+        try:
+            new = bytes(page[ord(c)] for c in word).decode(pair[1])
+        except (KeyError, UnicodeDecodeError):
+            continue
+        fall = shape - garbling_cost(new)
+        if new == word or fall < 0:
+            continue
+        if pair[1] in EAST_ASIAN:
+            kept = sum(c.isascii() and c.isalnum() for c in new)
+            wide = sum(_kind(c) in "kjc" for c in new)
+            if wide < 2 or fall < 1.5 or (kept < plain and pair[1] != "cp932"):
+                continue
+        yield pair, new, fall
+
+
+@lru_cache(maxsize=100_000)
+def suspect(word: str) -> bool:
+    """Whether another reading of a word looks so much better that it cannot vouch for its pairs."""
+    letters = sum(c.isalpha() and not c.isascii() for c in word)
+    return letters > 1 and garbling_cost(word) >= SUSPECT and any(fall >= SUSPECT for _, _, fall in _trials(word))
+
+
 def word_pairs(text: str) -> set[str]:
-    """Adjacent character pairs with a character outside ASCII, of the words worth a trial; in lower case."""
+    """Adjacent character pairs with a character outside ASCII, of all words; in lower case.
+
+    Suspect words are left out, and with them the others of a text in which they are at least half.
+    """
     found: set[str] = set()
-    for w in _LEGACY_WORD.findall(text):
+    words = [w for w in _WORD.findall(text) if not w.isascii()]
+    good = [w for w in words if not (_LEGACY_WORD.fullmatch(w) and suspect(w))]
+    if 2 * len(good) <= len(words):
+        return found
+    for w in good:
         w = f" {w.lower().translate(_FOLD)} "
         found.update(p for p in map("".join, zip(w, w[1:])) if not p.isascii())
     return found
@@ -253,28 +290,28 @@ class PairCost:
         core = word.strip("“”‘’„«»….,:;!?()[]\"'-–—")
         if base < 1.0 or len(core) < 2 or core.isascii() and word.rstrip(".,:;!?)") != core + "“" and word[-1] not in "‚„ˆ‰":
             return out
-        shape, plain = garbling_cost(word), sum(c.isascii() and c.isalnum() for c in word)
-        for pair in LEGACY_PAIRS:
-            page = _page(pair[0])
-            try:
-                new = bytes(page[ord(c)] for c in word).decode(pair[1])
-            except (KeyError, UnicodeDecodeError):
-                continue
-            fall = shape - garbling_cost(new)
-            if new == word or fall < 0:
-                continue
+        for pair, new, fall in _trials(word):
             cost = self(new)
             if pair[1] in EAST_ASIAN:
-                kept = sum(c.isascii() and c.isalnum() for c in new)
-                wide = sum(_kind(c) in "kjc" for c in new)
-                if wide < 2 or fall < 1.5 or (kept < plain and pair[1] != "cp932"):
-                    continue
                 cost = cost * len(word) / len(new) + (1.0 if all(_kind(c) != "j" for c in new) and any(_kind(c) == "c" for c in new) else 0.0)
             if base - cost > (MARGIN if fall < 0.8 else MARGIN_SHAPE):
                 out[pair] = (new, base - cost)
         return out
 
 
+def _syllables(word: str, pair: tuple[str, str]) -> str:
+    """A word too short for a trial of its own, read by the East Asian pair that explains its text; else ''."""
+    if pair[1] not in EAST_ASIAN:
+        return ""
+    page = _page(pair[0])
+    try:
+        new = bytes(page[ord(c)] for c in word).decode(pair[1])
+    except (KeyError, UnicodeDecodeError):
+        return ""
+    kinds = [_kind(c) for c in new if not c.isascii()]
+    return new if kinds and all(k in "kjc" for k in kinds) and garbling_cost(new) <= garbling_cost(word) else ""
+
+
 def _legacy_layer(text: str, cost: PairCost) -> tuple[str, int]:
     """Undo one layer of one legacy encoding read as another, word by word.
 
@@ -293,6 +330,9 @@ def _legacy_layer(text: str, cost: PairCost) -> tuple[str, int]:
     def fix(m: re.Match) -> str:
         nonlocal done
         ways = cost.gains(m.group())
+        if first not in ways and (new := _syllables(m.group(), first)):
+            done += 1
+            return new
         if not ways:
             return m.group()
         done += 1
@@ -328,16 +368,16 @@ class _Pairs:
         seen: Counter = Counter()
         texts = 0
         for batch in batches:
-            for text in batch["text"]:
-                texts += 1
+            for text, n in zip(batch["text"], batch["n"]):
+                texts += n
                 if text and not text.isascii():
-                    seen.update(word_pairs(text))
+                    seen.update(dict.fromkeys(word_pairs(text), n))
         rows = [*seen.items(), ("", texts)]
         yield pd.DataFrame({"pair": [k for k, _ in rows], "n": [v for _, v in rows]})
 
 
 def corpus_pairs(docs: DataFrame, text: str = "text") -> PairCost:
-    """The pair cost of a corpus, counted over all its texts.
+    """The pair cost of a corpus, counted over all its distinct texts; repeated ones count twice, however many.
 
     East Asian characters and digits count as one symbol per block, so the table is bounded
     by the square of the alphabets, not by the corpus; counts are summed per partition before
@@ -346,6 +386,8 @@ def corpus_pairs(docs: DataFrame, text: str = "text") -> PairCost:
     counted = (
         docs.select(F.col(text).alias("text"))
         .where("text IS NOT NULL")
+        .groupBy("text")
+        .agg(F.least(F.count("*"), F.lit(2)).alias("n"))
         .mapInPandas(_Pairs(), "pair string, n long")
         .groupBy("pair")
         .agg(F.sum("n").alias("n"))
