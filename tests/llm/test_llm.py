@@ -43,6 +43,11 @@ def test_same_pairs(spark):
     assert lookalike.same_pairs(df.limit(0), ["tab"], "m", "v").count() == 0
 
 
+def test_same_pairs_of_line_ends(spark):
+    df = spark.createDataFrame([("t", "1", "Grace\n"), ("t", "2", "Grace\r\n"), ("t", "3", "Grace")], "tab string, m string, v string")
+    assert list(map(tuple, lookalike.same_pairs(df, ["tab"], "m", "v").collect())) == [("1", "2")]
+
+
 # ---- splitting
 
 @pytest.mark.parametrize("text", ["word " * 3000, "x" * 9001, "A sentence here. " * 700 + "\n\n" + "Another line\n" * 400, "あ。" * 5000, "a\n\n" * 4001])

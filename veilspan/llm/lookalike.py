@@ -128,7 +128,7 @@ def repaired(text: str, known: set[str]) -> tuple[str, str]:
 
 def is_plain(text: Column) -> Column:
     """Whether a text is printable ASCII and line ends only: its own form and key."""
-    return text.rlike(r"^[ -~\n]*$")
+    return text.rlike(r"^[ -~\n]*\z")
 
 
 def same_pairs(rows: DataFrame, group: list[str], rec: str, text: str) -> DataFrame:
