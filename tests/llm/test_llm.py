@@ -83,13 +83,69 @@ def test_shadow_places():
 
 
 def test_candidates_are_found():
-    counts = pii.Counts(np.zeros(pii.BUCKETS, np.float32))
+    counts = pii.Counts(np.zeros(2 * pii.BUCKETS, np.float32))
     s = "mail ada [at] x-y [dot] example [dot] org or bob @ z.test, call +44 7700 900436 or id X12345678Z"
     got = {s[a:b] for a, b, _, _ in pii.candidates(s, counts)}
     assert {"ada [at] x-y [dot] example [dot] org", "bob @ z.test", "+44 7700 900436", "X12345678Z"} <= got
     assert pii.redacted("call 1 now", [(5, 6, 2, 0.9)]) == "call [PRIVATE_PHONE] now"
 
 
+def _known(**words):
+    """Counts of words by role: n stored, ten times as often in texts where ``t`` asks."""
+    table = np.zeros(2 * pii.BUCKETS, np.float32)
+    for role, listed in words.items():
+        for w in listed.split():
+            for b in pii.buckets(role, w):
+                table[b] += 50
+    return pii.Counts(table)
+
+
+def test_placeholders_are_no_candidates():
+    counts = _known(p="Person Phone Ada")
+    s = "Hello [PRIVATE_PERSON:3], ask Ada or [PERSON] at [Private Phone:ab12cd] [ADA] [MY RULE:7]"
+    assert [s[a:b] for a, b in pii.placeholders(s)] == ["[PRIVATE_PERSON:3]", "[PERSON]", "[MY RULE:7]"]
+    assert {s[a:b] for a, b, k, _ in pii.candidates(s, counts) if k == pii.PERSON} == {"Ada", "Phone", "ADA"}
+
+
+def test_candidates_of_any_length():
+    counts = _known(p="Ana Berta Carla Dora Eva Frida Gomez", f="Calle", l="Norte")
+    local = "a" * 200 + ".b"
+    row = "Ana Berta Carla Dora Eva Frida Gomez"
+    street = "Calle de la muy larga y vieja plaza mayor, 12, 28001 Norte"
+    s = f"mail {local}@x.org to {row}. En {street}."
+    got = {s[a:b] for a, b, _, _ in pii.candidates(s, counts)}
+    assert {f"{local}@x.org", row, "Ana Berta", "Frida Gomez", street} <= got
+    far = "House 3 on the old road by the long grey wall behind mill, 1234 Norte"
+    assert far[6:] in {far[a:b] for a, b, _, _ in pii.candidates(far, counts)}
+
+
+def test_candidates_grow_in_proportion():
+    counts = _known(p="Ana Berta", f="Calle", l="Norte")
+    n = [len(pii.candidates("Ana Berta\nAna Berta " * k + "a@" * k + "Calle 1 " * k, counts)) for k in (200, 400)]
+    assert n[1] < 2.2 * n[0]
+
+
+def test_words_share_no_columns_by_chance():
+    table = np.zeros(2 * pii.BUCKETS, np.float32)
+    for i in range(50_000):
+        for b in pii.buckets("t", f"word{i}"):
+            table[b] += 3
+    counts = pii.Counts(table)
+    assert sum(counts("p", f"other{i}") > 0 for i in range(10_000)) < 100
+
+
+def test_threshold_follows_the_label_rate():
+    p, y = np.repeat([0.6, 0.02], 200), np.tile([1.0, 0.0], 200)
+    y[200:] = 0
+    assert pii.threshold(p, y) == pytest.approx(0.2) and pii.threshold(p[:10], y[:10]) == pytest.approx(1 / 3)
+
+
+def test_long_values_are_counted(spark):
+    long = "Ana " * 60 + "Berta"
+    counts = pii.count_words(spark.createDataFrame([("Ana",)], "text string"), spark.createDataFrame([(long, 0)], "value string, kind int"))
+    assert (counts("p", "Berta"), counts("p", "Ana"), counts("t", "Ana")) == (1, 60, 1)
+
+
 def test_detector_on_labelled_texts():
     rng = random.Random(3)
     texts, spans = [], []
@@ -98,7 +154,7 @@ def test_detector_on_labelled_texts():
         t = f"Call {number} before noon. Order {order} is late."
         texts.append(t)
         spans.append([(5, 5 + len(number), pii.PHONE)])
-    d = pii.fit(texts, spans, pii.Counts(np.zeros(pii.BUCKETS, np.float32)))
+    d = pii.fit(texts, spans, pii.Counts(np.zeros(2 * pii.BUCKETS, np.float32)))
     assert [[(a, b, k) for a, b, k, _ in r] for r in d.find(["Call +44 7700 912345 before noon. Order 123-456789-00 is late.", ""])] == [[(5, 20, pii.PHONE)], []]
 
 

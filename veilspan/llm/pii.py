@@ -6,9 +6,14 @@ calibrated on held-out texts selects. Overlaps go to the higher score.
 
 Labels are the spans the detectors stored: incomplete, sometimes cut short or of the wrong
 kind. A candidate is positive where a stored span of its kind has exactly its bounds; spans
-with an unknown kind take their candidate out of the training. The trees and the context
-rates are fitted on ``TRAIN_TEXTS`` texts at most, chosen by hash; how often a word stands in
-names and addresses is counted over all spans and all texts, in a hashed table of fixed size.
+with an unknown kind take their candidate out of the training. Since the labels miss
+occurrences, a score is the chance that an occurrence is labelled: the chance that a candidate
+is personal data is that score over the mean score of held-out labelled ones, and the threshold
+is where leaving it costs as much as redacting it (``MISS_COST``). The trees and the context rates are fitted on ``TRAIN_TEXTS``
+texts at most, chosen by hash, of up to ``TRAIN_LENGTH`` characters; how often a word stands in
+names and addresses is counted over all spans and all texts, in a sketch of fixed size.
+
+Placeholders of an earlier redaction are no candidates.
 
 Everything is found on a shadow of the text - invisible characters dropped, wide forms,
 blanks and look-alike letters in one spelling - that remembers the places in the original.
@@ -16,14 +21,17 @@ blanks and look-alike letters in one spelling - that remembers the places in the
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +43,12 @@ PERSON, EMAIL, PHONE, ACCOUNT, ADDRESS = range(5)
 #: Texts the trees are fitted on, at most; and of one text, the characters up to which it may serve.
 TRAIN_TEXTS = 1500
 TRAIN_LENGTH = 6000
-#: Factor on the thresholds that fit the stored spans best.
-MISSED = 0.65
-#: Size of the hashed table of word counts.
+#: What a missed occurrence costs where a false one costs 1.
+MISS_COST = 2.0
+#: Columns of the sketch of word counts, which has two rows.
 BUCKETS = 1 << 20
+#: Sub-spans of a row of names have at most so many words; a longer row is proposed as a whole.
+NAME_WORDS = 5
 
 
 def span_kind(kind: Column) -> Column:
@@ -111,15 +121,16 @@ def _unmixed(text: str) -> str:
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _CAPITAL = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÖØ-ÞĀ-ŽΑ-ΩА-ЯЁІ][^\W\d_]*(?:[-'’][^\W\d_]+)*")
 _AT = re.compile(r" ?(?:@|[\[(] ?at ?[\])]) ?", re.I)
-_LOCAL = re.compile(r"(?:[\w+\-%]|(?<=[\w+\-%])\.(?=[\w+\-%])| ?[\[(]dot[\])] ?)+$", re.I)
+#: The part before the @, read from right to left.
+_LOCAL = re.compile(r"(?:[\w+\-%]|(?<=[\w+\-%])\.(?=[\w+\-%])| ?[\])]tod[\[(] ?)+", re.I)
 _DOMAIN = re.compile(r"[^\W_](?:[\w\-]*[^\W_])?(?:(?:\.| ?[\[(]dot[\])] ?)[^\W_](?:[\w\-]*[^\W_])?)+", re.I)
 _NUMBER = re.compile(r"(?<![0-9A-Za-z+])(?:\+|\()?[0-9](?:[ .\-/()]{0,3}[0-9]){6,18}(?![0-9A-Za-z])")
 _DATE = re.compile(r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4}")
 _MIXED_ID = re.compile(r"(?<![0-9A-Za-z])[A-Z]{1,2}[ \-]?[0-9](?:[ \-]?[0-9]){4,8}[ \-]?[A-Z](?![0-9A-Za-z])", re.I)
 _HOUSE = re.compile(r"(?<![\w/.\-:#])[0-9]{1,4}[A-Za-z]?(?![\w/:]|[.,\-][0-9])")
-_UNIT = re.compile(r"[^\W\d_]+\.? [0-9]{1,4}[A-Za-z]?, $")
-_STREET_RIGHT = re.compile(r" [^\W\d_][\w'’.\-]*(?: [^\W\d_][\w'’.\-]*){0,5}?(?=,? ?\n|, )")
-_STREET_LEFT = re.compile(r"(?:[^\W\d_][\w'’.\-]*[ \n]){1,6}?$")
+#: A unit before a house number, read from right to left.
+_UNIT = re.compile(r" ,[A-Za-z]?[0-9]{1,4} \.?[^\W\d_]+")
+_STREET_RIGHT = re.compile(r" [^\W\d_][\w'’.\-]*(?: [^\W\d_][\w'’.\-]*)*?(?=,? ?\n|, )")
 _PLACE = re.compile(r"(?:, ?|,? ?\n| in )(?:([0-9]{3,6}(?: [A-Z]{2})?) )?([^\W\d_][\w'’\-]*(?: [^\W\d_][\w'’\-]*){0,4})(?: ([0-9]{4,6}(?![\w,.][0-9])))?")
 _JP = re.compile(r"(?:〒[0-9]{3}-?[0-9]{4}[ \n]?)?[一-龥]{1,4}[県都府道][一-龥ァ-ヶぁ-ん]{1,8}?[市区町村郡][一-龥ァ-ヶぁ-ん]{1,10}?[0-9]+(?:丁目[0-9]+番(?:地)?(?:[0-9]+号)?|(?:-[0-9]+)*)")
 _KR = re.compile(r"(?:\([0-9]{5}\) |[0-9]{5} )?[가-힣]{2,6}(?:시|도|군) (?:[가-힣]{1,6} ){0,2}[가-힣0-9]{1,8}(?:로|길|동|가)(?: ?[0-9]{1,3}번길)? [0-9]{1,4}(?:-[0-9]+)?(?:, [0-9]+호)?")
@@ -127,20 +138,23 @@ _HANGUL = re.compile(r"(?<![가-힣])[가-힣]{2,8}")
 _JNAME_END = re.compile(r"(?<=[一-龥々ァ-ヶー])(?=さん|様|氏|殿|:|：|。|\.|\n|$|、|,)")
 
 
-def bucket(role: str, word: str) -> int:
-    """Bucket of a word in a role: t any text, p names, v whole names, f first and l last word of addresses."""
-    h = 2166136261
-    for b in f"{role}:{word.lower()}".encode("utf-8", "replace"):
-        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
-    return (h ^ (h >> 15)) & (BUCKETS - 1)
+def buckets(role: str, word: str) -> tuple[int, int]:
+    """Columns of a word in both rows of the sketch, by role: t any text, p names, v whole names, f first and l last word of addresses."""
+    h = xxhash.xxh3_64_intdigest(f"{role}:{word.lower()}".encode("utf-8", "replace"))
+    return h & (BUCKETS - 1), BUCKETS + ((h >> 32) & (BUCKETS - 1))
 
 
 class Counts:
-    """Hashed word counts of the corpus with remembered look-ups."""
+    """Word counts of the corpus in a count-min sketch, with remembered look-ups.
+
+    ``table`` holds both rows one after the other. ``least`` is what words that were never
+    counted may show by sharing columns (the sketch's error bound, which grows with the
+    corpus), and one chance hit of the labels.
+    """
 
     def __init__(self, table: np.ndarray):
         self.table = table
-        self.noise = 2 + 3 * float(table[table > 0].mean() if (table > 0).any() else 0) * float((table > 0).mean())
+        self.least = 2 + math.e * float(table[:BUCKETS].sum(dtype=np.float64)) / BUCKETS * float((table[:BUCKETS] > 0).mean())
         self.known: dict[tuple[str, str], int] = {}
 
     def __call__(self, role: str, word: str) -> int:
@@ -149,23 +163,39 @@ class Counts:
         if n is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            n = self.known[key] = int(self.table[bucket(role, word)])
+            a, b = buckets(role, word)
+            n = self.known[key] = int(min(self.table[a], self.table[b]))
         return n
 
     def name(self, word: str) -> float:
         """Share of a word's occurrences that stand in a name, as far as known."""
         n = self("p", word)
-        return n / (self("t", word) + 3) if n > 1 else 0.0
+        return n / (self("t", word) + 3) if n >= self.least else 0.0
+
+
+#: A bracket with or without an ordinal or code at its end.
+_BRACKET = re.compile(r"\[([^\[\]\n]+?)(:[0-9]+|:[0-9a-z]{6})?\]")
+_KIND_WORD = re.compile("ADDRESS|LOCATION|STREET|MAIL|PHONE|PERSON|NAME|ACCOUNT|CARD|NUMBER|IBAN|DATE|URL|SECRET|CUSTOM")
+
+
+def placeholders(s: str) -> list[tuple[int, int]]:
+    """Bounds of the placeholders of a redacted text: a kind in capitals in brackets, with or without its index."""
+    if "[" not in s:
+        return []
+    return [m.span() for m in _BRACKET.finditer(s) if m.group(1) == m.group(1).upper() and any(map(str.isalpha, m.group(1))) and (m.group(2) or "_" in m.group(1) or _KIND_WORD.search(m.group(1)))]
 
 
 def candidates(s: str, counts: Counts) -> list[tuple[int, int, int, int]]:
     """(start, end, kind, generator) proposals on a shadow text; they overlap."""
     out: list[tuple[int, int, int, int]] = []
+    n, back = len(s), ""
     for m in _AT.finditer(s):
-        head = _LOCAL.search(s, max(0, m.start() - 80), m.start())
-        tail = _DOMAIN.match(s, m.end())
-        if head and tail and head.start() < m.start():
-            a = head.start() + (len(head.group()) - len(head.group().lstrip()))
+        back = back or s[::-1]
+        head = _LOCAL.match(back, n - m.start())
+        tail = _DOMAIN.match(s, m.end()) if head else None
+        if tail:
+            a = n - head.end()
+            a += len(s[a : m.start()]) - len(s[a : m.start()].lstrip())
             out.append((a, tail.end(), EMAIL, 0))
     for m in _NUMBER.finditer(s):
         a, b = m.span()
@@ -179,6 +209,10 @@ def candidates(s: str, counts: Counts) -> list[tuple[int, int, int, int]]:
         out.append((m.start(), m.end(), ACCOUNT, 2))
     _addresses(s, counts, out)
     _names(s, counts, out)
+    held = placeholders(s)
+    if held:
+        starts = [a for a, _ in held]
+        out = [c for c in out if not (k := bisect_left(starts, c[1])) or held[k - 1][1] <= c[0]]
     return list(dict.fromkeys(out))
 
 
@@ -191,34 +225,40 @@ def _addresses(s: str, counts: Counts, out: list) -> None:
             comma = s.find(",", m.start(), m.end())
             if comma > 0:
                 out.append((m.start(), comma, ADDRESS, 4))
+    back = ""
     for m in _HOUSE.finditer(s):
         a, b = m.span()
         # House number first: the street to the right, then the place.
         street = _STREET_RIGHT.match(s, b)
         if street:
-            unit = _UNIT.search(s, max(0, a - 20), a)
-            for end in _places(s, street.end(), counts):
+            ends = _places(s, street.end(), counts)
+            unit = None
+            if ends and s[max(0, a - 2) : a] == ", ":
+                back = back or s[::-1]
+                unit = _UNIT.match(back, len(s) - a)
+            for end in ends:
                 out.append((a, end, ADDRESS, 5))
                 if unit:
-                    out.append((unit.start(), end, ADDRESS, 5))
-        # Street first: up to six words to the left, a comma between allowed.
+                    out.append((len(s) - unit.end(), end, ADDRESS, 5))
+        # Street first: all words to the left up to a number, a comma between allowed.
         stop = a - 2 if s[max(0, a - 2) : a] == ", " else a - 1 if s[max(0, a - 1) : a] == " " else -1
         if stop > 0 and s[stop - 1].isalpha():
             ends = None
             at = stop
-            for _ in range(6):
-                back = at
-                while back > 0 and (s[back - 1].isalnum() or s[back - 1] in "'’.-"):
-                    back -= 1
-                if back == at or s[back].isdigit():
+            while True:
+                first = at
+                while first > 0 and (s[first - 1].isalnum() or s[first - 1] in "'’.-"):
+                    first -= 1
+                if first == at or s[first].isdigit():
                     break
-                first = s[back:at]
-                if counts("f", first) > counts.noise:
+                if counts("f", s[first:at]) > counts.least:
                     ends = _places(s, b, counts) if ends is None else ends
-                    out += [(back, end, ADDRESS, 6) for end in ends]
-                if back == 0 or s[back - 1] != " ":
+                    out += [(first, end, ADDRESS, 6) for end in ends]
+                    if not ends:
+                        break
+                if first == 0 or s[first - 1] != " ":
                     break
-                at = back - 1
+                at = first - 1
 
 
 def _places(s: str, at: int, counts: Counts) -> list[int]:
@@ -232,7 +272,7 @@ def _places(s: str, at: int, counts: Counts) -> list[int]:
     base = m.start(2)
     for w in re.finditer(r"\S+", m.group(2)):
         word = w.group()
-        if word[0].isupper() and (counts("l", word) > counts.noise or m.group(1) or m.group(3)):
+        if word[0].isupper() and (counts("l", word) > counts.least or m.group(1) or m.group(3)):
             ends.append(base + w.end())
     return ends
 
@@ -241,18 +281,35 @@ def _names(s: str, counts: Counts, out: list) -> None:
     # Tokens of a row, whether each is surely a name, and whether a plain blank stands before it.
     row: list[tuple[int, int, bool, bool]] = []
 
+    def propose(i: int, j: int) -> None:
+        a, b = row[i][0], row[j][1]
+        if any(s[row[k][1] - 1] != "." for k in range(i, j + 1)) and (s[b - 1] != "." or "," in s[a:b]):
+            out.append((a, b, PERSON, 7))
+
     def flush() -> None:
         n = len(row)
+        # Whether so many sure tokens stand side by side that they may be several names.
+        several = [False] * n
+        i = 0
+        while i < n:
+            j = plain = i + 1
+            while j < n and row[j][3] and row[j][2] and row[j - 1][2]:
+                j += 1
+            if j - i > 3:
+                several[i:j] = [True] * (j - i)
+            while plain < n and row[plain][3]:
+                plain += 1
+            if plain - i > NAME_WORDS and not (i and row[i][3]):
+                propose(i, plain - 1)
+            i = j
         for i in range(n):
             # A span may start or end inside a row only next to a doubtful token or an unusual gap.
-            if i and row[i][3] and row[i - 1][2]:
+            if i and row[i][3] and row[i - 1][2] and not several[i]:
                 continue
-            for j in range(i, min(n, i + 5)):
-                if j + 1 < n and row[j + 1][3] and row[j + 1][2]:
+            for j in range(i, min(n, i + NAME_WORDS)):
+                if j + 1 < n and row[j + 1][3] and row[j + 1][2] and not several[j]:
                     continue
-                a, b = row[i][0], row[j][1]
-                if any(s[row[k][1] - 1] != "." for k in range(i, j + 1)) and (s[b - 1] != "." or "," in s[a:b]):
-                    out.append((a, b, PERSON, 7))
+                propose(i, j)
         row.clear()
 
     last = -9
@@ -278,12 +335,12 @@ def _names(s: str, counts: Counts, out: list) -> None:
     for m in _HANGUL.finditer(s):
         a = m.start()
         for b in range(a + 2, min(m.end(), a + 6) + 1):
-            if counts("v", s[a:b]) > counts.noise:
+            if counts("v", s[a:b]) > counts.least:
                 out.append((a, b, PERSON, 8))
         nxt = _HANGUL.match(s, m.end() + 1) if s[m.end() : m.end() + 1] == " " and m.end() - a <= 3 else None
         if nxt:
             for b in range(nxt.start() + 2, min(nxt.end(), nxt.start() + 5) + 1):
-                if counts("v", s[nxt.start() : b]) > counts.noise and counts("v", s[a:b]) > 0:
+                if counts("v", s[nxt.start() : b]) > counts.least and counts("v", s[a:b]) > 0:
                     out.append((a, b, PERSON, 9))
     for m in _JNAME_END.finditer(s):
         b = m.start()
@@ -293,7 +350,7 @@ def _names(s: str, counts: Counts, out: list) -> None:
                 if a < 0 or s[a] not in " 々ーノヶケ":
                     break
                 continue
-            if counts("v", s[a:b]) > counts.noise or (n >= 4 and counts("v", s[a:b]) > 0):
+            if counts("v", s[a:b]) > counts.least or (n >= 4 and counts("v", s[a:b]) > 0):
                 out.append((a, b, PERSON, 10))
 
 
@@ -516,16 +573,19 @@ def fit(texts: list[str], spans: list[list[tuple[int, int, int]]], counts: Count
         p = boost.fit(x[~h], y[~h]).predict(x[h])
         for k in range(len(KINDS)):
             rows = x[h][:, 0] == k
-            limits[k] = _threshold(p[rows], y[h][rows])
+            limits[k] = threshold(p[rows], y[h][rows])
     return Detector(boost.fit(x, y), rates(list(range(len(data)))).frozen(), limits, counts)
 
 
-def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The score with the best F1 against stored spans, lowered by ``MISSED``: these miss occurrences, which lowers all scores."""
-    if y.sum() < 20:
-        return 0.3
-    best = max((float(c) for c in np.linspace(0.08, 0.5, 22)), key=lambda c: (2 * y[p >= c].sum() / max(1, (p >= c).sum() + y.sum()), -c))
-    return MISSED * best
+def threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The score from which leaving a candidate costs more than redacting it.
+
+    Labels miss occurrences at random, so labelled candidates show how high scores of true
+    ones are on average: that mean is the chance that an occurrence is labelled. With too few
+    held-out labels every occurrence is taken as labelled.
+    """
+    labelled = float(p[y > 0.5].mean()) if y.sum() >= 20 else 1.0
+    return labelled / (1 + MISS_COST)
 
 
 # ---------------------------------------------------------------- Spark
@@ -559,13 +619,14 @@ def count_words(texts: DataFrame, spans: DataFrame) -> Counts:
     def _rows(items: list[tuple[str, str, int]]) -> pd.DataFrame:
         total: Counter = Counter()
         for r, w, n in items:
-            total[bucket(r, w)] += n
+            for b in buckets(r, w):
+                total[b] += n
         return pd.DataFrame({"bucket": list(total.keys()), "n": list(total.values())}, dtype="int64")
 
     one = texts.select("text").mapInPandas(of_texts, "bucket long, n long")
-    two = spans.where((F.col("kind").isin(PERSON, ADDRESS)) & (F.length("value") <= 120)).select("value", "kind").mapInPandas(of_spans, "bucket long, n long")
+    two = spans.where(F.col("kind").isin(PERSON, ADDRESS)).select("value", "kind").mapInPandas(of_spans, "bucket long, n long")
     found = one.unionByName(two).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(BUCKETS, np.float32)
+    table = np.zeros(2 * BUCKETS, np.float32)
     table[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return Counts(table)
 
