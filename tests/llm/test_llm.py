@@ -265,3 +265,48 @@ def test_garbled_copies_and_sources(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.restored for r in mojibake.repair_documents(df, mojibake.corpus_pairs(df)).collect()}
     assert got == {40 + i: t for i, t in enumerate([copied] * 40 + source)}
+
+
+def _garbled(text, read, written="utf-8"):
+    chars = {b: chr(o) for o, b in mojibake._page(read).items()}
+    return "".join(chars[b] for b in text.encode(written))
+
+
+def test_any_number_of_layers():
+    text = bad = "Grüße"
+    for n in range(1, 7):
+        bad = _garbled(bad, "cp1252")
+        assert mojibake.repair(bad)[0] == text and mojibake.repair(bad)[2] == n
+
+
+def test_cost_of_the_whole_word_from_its_neighbours():
+    rng = random.Random(9)
+    for _ in range(300):
+        parts = ["".join(rng.choices("aÃ漢字語é—ñЖ한", k=rng.randint(0, 60))) for _ in range(3)]
+        new = "".join(rng.choices("üé漢", k=rng.randint(1, 9)))
+        text, a = "".join(parts), len(parts[0])
+        b = a + len(parts[1])
+        left, right = mojibake._around(text, a, b)
+        whole = mojibake.garbling_cost(text) - mojibake.garbling_cost(parts[0] + new + parts[2])
+        assert mojibake._drop(text[left:a], parts[1], new, text[b:right]) == pytest.approx(whole)
+
+
+def test_pages_with_runs_hold_every_run():
+    rng = random.Random(10)
+    pool = "ab Ã¼â‚¬Ð°Ñ€в–’ê°€한漢é\U0001f600"
+    for _ in range(300):
+        text = "".join(rng.choices(pool, k=rng.randint(1, 30)))
+        want = [n for n in mojibake.READ_AS if any(mojibake._UTF8.search(mojibake._bytes(r.group(), n)) for r in mojibake._RUNS[n].finditer(text))]
+        assert set(want) <= set(mojibake._pages_with_runs(text))
+
+
+def test_pair_table_is_bounded():
+    assert len(mojibake._Folded.kept) < 700
+    assert {mojibake._FOLD[ord(c)] for c in "ไทยहिन्दीعربي"} == {"￿"} and mojibake._FOLD[ord("é")] == "é"
+
+
+def test_short_words_follow_their_line(spark):
+    texts = [f"Проверка связи и готова {i}" for i in range(40)] + [f"И снова проверка и связь {i}" for i in range(40)] + ["Caffè è tè"] * 9
+    df = spark.createDataFrame(list(enumerate([*texts, _garbled("И снова проверка и связь", "cp1252", "cp1251")])), "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in mojibake.repair_documents(df, mojibake.corpus_pairs(df)).collect()}
+    assert got == {89: "И снова проверка и связь"}

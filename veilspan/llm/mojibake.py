@@ -3,7 +3,8 @@
 Method: round-trip repair. A stretch of text is encoded back with a candidate legacy
 encoding (the one it was wrongly read with) and strictly decoded with the encoding it was
 written in. The result replaces the stretch when a garbling cost drops; nested layers are
-peeled by repeating the step. Stretches whose characters are lost for good (replacement
+peeled by repeating the step until no cost drops: a step that leaves the garbling cost as it
+was lowers the pair cost, so it ends by itself. Stretches whose characters are lost for good (replacement
 characters) are reported as garbled and left as they are.
 
 The work is one pass over the text per document, in Arrow batches, with no shuffle.
@@ -18,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,8 @@ LEGACY_PAIRS = [
     if read_as != written
 ]
 EAST_ASIAN = {"euc-kr", "cp932", "euc-jp"}
-MAX_LAYERS = 4
+#: Words whose readings are remembered per task; those of further words are worked out again.
+REMEMBERED = 100_000
 #: Least drop of the pair cost for which a word is restored; the second where its shape improves too.
 MARGIN, MARGIN_SHAPE = 1.5, 0.8
 #: Drop of the garbling cost from which a word is no evidence of how the corpus is spelled.
@@ -153,65 +156,147 @@ def _run_pattern(name: str) -> re.Pattern:
 
 
 _RUNS = {name: _run_pattern(name) for name in READ_AS}
-#: Any pair that could be UTF-8 under some page: most texts fail this one search.
-_ANY_RUN = re.compile("|".join(p.pattern for p in _RUNS.values()))
+
+
+@lru_cache(maxsize=1)
+def _roles() -> tuple[np.ndarray, ...]:
+    """Per code point, one bit per page of ``READ_AS``: leads of 2, 3 and 4 bytes, and continuations. The last entry stands for all others."""
+    ranges = ((0xC2, 0xDF), (0xE0, 0xEF), (0xF0, 0xF4), (0x80, 0xBF))
+    out = tuple(np.zeros(0x10000, np.uint16) for _ in ranges)
+    for bit, name in enumerate(READ_AS):
+        for c, b in _page(name).items():
+            for table, (low, high) in zip(out, ranges):
+                if low <= b <= high:
+                    table[c] |= 1 << bit
+    return out
+
+
+def _pages_with_runs(text: str) -> list[str]:
+    """The pages under which some characters of a text are the bytes of a UTF-8 character."""
+    at = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+    two, three, four, more = _roles()
+    rest = more[at]
+    if not rest.any():
+        return []
+    pair = rest[1:]
+    met = int(np.bitwise_or.reduce(two[at[:-1]] & pair, initial=0))
+    if len(at) > 2:
+        triple = pair[:-1] & pair[1:]
+        met |= int(np.bitwise_or.reduce(three[at[:-2]] & triple, initial=0))
+        if len(at) > 3:
+            met |= int(np.bitwise_or.reduce(four[at[:-3]] & triple[:-1] & pair[2:], initial=0))
+    return [name for bit, name in enumerate(READ_AS) if met >> bit & 1]
+
+
 _WIDE_RUN = re.compile(r"[^\x00-\x7f\ufffd]{2,}")
 _WORD = re.compile(r"[^ \t\r\n]+")
-#: A word worth the legacy trial: a character outside ASCII and the common East Asian blocks.
-_LEGACY_WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uff60\ufffd][^ \t\r\n]*")
+#: A character that makes a word worth the legacy trial: outside ASCII and the common East Asian blocks.
+_LEGACY_CHAR = re.compile(r"[^\x00-\x7f\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uff60\ufffd]")
 
 
 def _around(text: str, a: int, b: int) -> tuple[int, int]:
-    """The word around [a, b), at most 40 characters to either side."""
+    """The part of the word around [a, b) on which the change of its cost depends.
+
+    The cost of a character depends on the one before it and, among Chinese characters, on how
+    many of them stand before it. So one further character on either side, and all Chinese
+    ones up to there, give the same difference as the whole word.
+    """
     left, right = a, b
-    while left > 0 and a - left < 40 and text[left - 1] not in " \n\t":
+    while left > 0 and text[left - 1] not in " \n\t":
         left -= 1
-    while right < len(text) and right - b < 40 and text[right] not in " \n\t":
+        if _kind(text[left]) != "c":
+            break
+    while right < len(text) and text[right] not in " \n\t":
         right += 1
+        if _kind(text[right - 1]) != "c":
+            break
     return left, right
 
 
-def _utf8_layer(text: str, read_as: str) -> tuple[str, int, float]:
+@lru_cache(maxsize=REMEMBERED)
+def _drop(before: str, old: str, new: str, after: str) -> float:
+    """How much the garbling cost drops where ``new`` takes the place of ``old``."""
+    return garbling_cost(before + old + after) - garbling_cost(before + new + after)
+
+
+def _utf8_layer(text: str, read_as: str) -> tuple[str, int, tuple[int, float]]:
     """Undo one layer of UTF-8 read as ``read_as`` where it lowers the cost of the word around.
 
-    Returns the new text, the stretches changed and the drop of the cost.
+    Returns the new text, the stretches changed, and the characters explained with the drop of the cost.
     """
-    out, at, done, gain = [], 0, 0, 0.0
+    out, at, done, size, gain = [], 0, 0, 0, 0.0
     for run in _RUNS[read_as].finditer(text):
         base = run.start()
         for m in _UTF8.finditer(_bytes(run.group(), read_as)):
             a, b = base + m.start(), base + m.end()
             new = m.group().decode("utf-8")
             left, right = _around(text, a, b)
-            drop = garbling_cost(text[left:right]) - garbling_cost(text[left:a] + new + text[b:right])
+            drop = _drop(text[left:a], text[a:b], new, text[b:right])
             if drop > 0.5:
                 out += [text[at:a], new]
-                at, done, gain = b, done + 1, gain + drop
-    return ("".join(out) + text[at:], done, gain) if done else (text, 0, 0.0)
-
+                at, done, size, gain = b, done + 1, size + b - a, gain + drop
+    return ("".join(out) + text[at:], done, (size, gain)) if done else (text, 0, (0, 0.0))
 
-def _wide_layer(text: str, read_as: str) -> tuple[str, int, float]:
-    """Undo one layer of UTF-8 read as an East Asian encoding; lost bytes stay lost."""
-    done, gain = 0, 0.0
 
-    def fix(m: re.Match) -> str:
-        nonlocal done, gain
-        s = m.group()
+@lru_cache(maxsize=REMEMBERED)
+def _wide_readings(run: str) -> dict[str, tuple[str, float]]:
+    """By East Asian encoding: a run of characters as UTF-8 read as that encoding, and the drop of the cost; lost bytes stay lost."""
+    out = {}
+    for name in READ_AS_WIDE:
         try:
-            new = s.encode(read_as).decode("utf-8")
+            new = run.encode(name).decode("utf-8")
         except (UnicodeEncodeError, UnicodeDecodeError):
-            return s
-        drop = garbling_cost(s) - garbling_cost(new)
+            continue
+        drop = garbling_cost(run) - garbling_cost(new)
         if drop > 0.5:
-            done, gain = done + 1, gain + drop
-            return new
-        return s
+            out[name] = (new, drop)
+    return out
+
 
-    return _WIDE_RUN.sub(fix, text), done, gain
+def _wide_layers(text: str) -> list[tuple[str, int, tuple[int, float]]]:
+    """Undo one layer of UTF-8 read as an East Asian encoding: one result per encoding that explains any run."""
+    found = {run: ways for run in _WIDE_RUN.findall(text) if (ways := _wide_readings(run))}
+    out = []
+    for name in dict.fromkeys(name for ways in found.values() for name in ways):
+        done, size, gain = 0, 0, 0.0
 
+        def fix(m: re.Match) -> str:
+            nonlocal done, size, gain
+            way = found.get(m.group(), {}).get(name)  # noqa: B023
+            if way is None:
+                return m.group()
+            done, size, gain = done + 1, size + len(m.group()), gain + way[1]
+            return way[0]
 
-#: East Asian blocks counted as one symbol each, so the pair table is bounded by the alphabets.
-_FOLD = {**{c: "漢" for c in range(0x4E00, 0xA000)}, **{c: "한" for c in range(0xAC00, 0xD7A4)}, **{c: "か" for c in range(0x3041, 0x3100)}, **{c: "0" for c in range(0x30, 0x3A)}}
+        out.append((_WIDE_RUN.sub(fix, text), done, (size, gain)))
+    return out
+
+
+class _Folded(dict):
+    """Code point -> the symbol it counts as: itself within the legacy alphabets, else one symbol for all of its kind.
+
+    The pair table is bounded by the square of some 700 symbols, whatever the corpus holds.
+    """
+
+    kept = {c for name in {*READ_AS, *(x for p in LEGACY_PAIRS for x in p if x not in EAST_ASIAN)} for o in _page(name) for c in chr(o).lower()}
+
+    def __missing__(self, o: int) -> str:
+        c = chr(o)
+        if "0" <= c <= "9":
+            out = "0"
+        elif 0x4E00 <= o < 0xA000:
+            out = "漢"
+        elif 0xAC00 <= o < 0xD7A4:
+            out = "한"
+        elif 0x3041 <= o < 0x3100:
+            out = "か"
+        else:
+            out = c if o < 128 or c in self.kept else "\uffff"
+        self[o] = out
+        return out
+
+
+_FOLD = _Folded()
 
 
 def _trials(word: str) -> Iterator[tuple[tuple[str, str], str, float]]:
@@ -234,27 +319,31 @@ def _trials(word: str) -> Iterator[tuple[tuple[str, str], str, float]]:
         yield pair, new, fall
 
 
-@lru_cache(maxsize=100_000)
 def suspect(word: str) -> bool:
     """Whether another reading of a word looks so much better that it cannot vouch for its pairs."""
+    if not _LEGACY_CHAR.search(word):
+        return False
     letters = sum(c.isalpha() and not c.isascii() for c in word)
     return letters > 1 and garbling_cost(word) >= SUSPECT and any(fall >= SUSPECT for _, _, fall in _trials(word))
 
 
+@lru_cache(maxsize=REMEMBERED)
+def _pairs_of(word: str) -> frozenset[str] | None:
+    """Adjacent character pairs of a word with a character outside ASCII, in lower case; null for a suspect word."""
+    if suspect(word):
+        return None
+    w = f" {word.lower().translate(_FOLD)} "
+    return frozenset(p for p in map("".join, zip(w, w[1:])) if not p.isascii())
+
+
 def word_pairs(text: str) -> set[str]:
-    """Adjacent character pairs with a character outside ASCII, of all words; in lower case.
+    """Character pairs of all words of a text.
 
     Suspect words are left out, and with them the others of a text in which they are at least half.
     """
-    found: set[str] = set()
-    words = [w for w in _WORD.findall(text) if not w.isascii()]
-    good = [w for w in words if not (_LEGACY_WORD.fullmatch(w) and suspect(w))]
-    if 2 * len(good) <= len(words):
-        return found
-    for w in good:
-        w = f" {w.lower().translate(_FOLD)} "
-        found.update(p for p in map("".join, zip(w, w[1:])) if not p.isascii())
-    return found
+    pairs = [_pairs_of(w) for w in _WORD.findall(text) if not w.isascii()]
+    good = [p for p in pairs if p is not None]
+    return set().union(*good) if 2 * len(good) > len(pairs) else set()
 
 
 class PairCost:
@@ -280,7 +369,7 @@ class PairCost:
     def gains(self, word: str) -> dict[tuple[str, str], tuple[str, float]]:
         """By (read as, written in): the word restored, and the drop of its cost if it is large enough."""
         if word not in self.known:
-            if len(self.known) > 100_000:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
             self.known[word] = self._gains(word)
         return self.known[word]
@@ -299,46 +388,65 @@ class PairCost:
         return out
 
 
-def _syllables(word: str, pair: tuple[str, str]) -> str:
-    """A word too short for a trial of its own, read by the East Asian pair that explains its text; else ''."""
-    if pair[1] not in EAST_ASIAN:
-        return ""
+def _follows(word: str, pair: tuple[str, str], cost: PairCost, most: bool) -> str:
+    """A word that gains too little by itself, read by the pair that explains its text; else ''.
+
+    East Asian readings must give East Asian characters only. Others are taken where ``most``
+    of the line is read that way and neither cost rises.
+    """
     page = _page(pair[0])
     try:
         new = bytes(page[ord(c)] for c in word).decode(pair[1])
     except (KeyError, UnicodeDecodeError):
         return ""
-    kinds = [_kind(c) for c in new if not c.isascii()]
-    return new if kinds and all(k in "kjc" for k in kinds) and garbling_cost(new) <= garbling_cost(word) else ""
+    if new == word or garbling_cost(new) > garbling_cost(word):
+        return ""
+    if pair[1] in EAST_ASIAN:
+        kinds = [_kind(c) for c in new if not c.isascii()]
+        return new if kinds and all(k in "kjc" for k in kinds) else ""
+    return new if most and cost(new) <= cost(word) else ""
 
 
-def _legacy_layer(text: str, cost: PairCost) -> tuple[str, int]:
+def _legacy_layer(text: str, cost: PairCost) -> tuple[str, int, int]:
     """Undo one layer of one legacy encoding read as another, word by word.
 
+    Returns the new text, the words changed and the characters outside ASCII in them.
+
     The pair of encodings that explains most of the text goes first; words it cannot
     restore take their own best pair.
     """
     total: Counter = Counter()
-    for word in set(_LEGACY_WORD.findall(text)):
+    for word in {w for w in _WORD.findall(text) if _LEGACY_CHAR.search(w)}:
         for pair, (_, gain) in cost.gains(word).items():
             total[pair] += gain
     if not total:
-        return text, 0
+        return text, 0, 0
     first = max(total, key=lambda p: (total[p], p))
-    done = 0
-
-    def fix(m: re.Match) -> str:
-        nonlocal done
-        ways = cost.gains(m.group())
-        if first not in ways and (new := _syllables(m.group(), first)):
-            done += 1
+    done = size = 0
+
+    def line(part: str) -> str:
+        odd = [w for w in _WORD.findall(part) if _LEGACY_CHAR.search(w)]
+        if not odd:
+            return part
+        most = 2 * sum(first in cost.gains(w) for w in odd) >= len(odd)
+
+        def fix(m: re.Match) -> str:
+            nonlocal done, size
+            word = m.group()
+            if not _LEGACY_CHAR.search(word):
+                return word
+            ways = cost.gains(word)
+            new = ways[first][0] if first in ways else _follows(word, first, cost, most)
+            if not new and ways:
+                new = max(ways.values(), key=lambda x: (x[1], x[0]))[0]
+            if not new:
+                return word
+            done, size = done + 1, size + sum(not c.isascii() for c in word)
             return new
-        if not ways:
-            return m.group()
-        done += 1
-        return ways[first][0] if first in ways else max(ways.values(), key=lambda x: (x[1], x[0]))[0]
 
-    return _LEGACY_WORD.sub(fix, text), done
+        return _WORD.sub(fix, part)
+
+    return "\n".join(map(line, text.split("\n"))), done, size
 
 
 def repair(text: str, cost: PairCost | None = None) -> tuple[str, int, int, int]:
@@ -346,15 +454,17 @@ def repair(text: str, cost: PairCost | None = None) -> tuple[str, int, int, int]
     if not text or text.isascii():
         return text or "", 0, 0, 0
     stretches = layers = 0
-    for _ in range(MAX_LAYERS):
-        best, most, count = text, 0.0, 0
-        trials = [_utf8_layer(text, n) for n in READ_AS if _RUNS[n].search(text)] if _ANY_RUN.search(text) else []
-        trials += [_wide_layer(text, n) for n in READ_AS_WIDE] if _WIDE_RUN.search(text) else []
-        for new, n, gain in trials:
+    while True:
+        # The page that explains most characters goes first: a wrong one leaves some of them.
+        best, most, count = text, (0, 0.0), 0
+        for new, n, gain in [_utf8_layer(text, name) for name in _pages_with_runs(text)] + _wide_layers(text):
             if gain > most:
                 best, most, count = new, gain, n
-        if not count and cost is not None:
-            best, count = _legacy_layer(text, cost)
+        if cost is not None:
+            # Legacy bytes hold UTF-8 characters by chance, but these explain only a few of them.
+            new, n, size = _legacy_layer(text, cost)
+            if n and size >= 2 * most[0]:
+                best, count = new, n
         if not count:
             break
         text, stretches, layers = best, stretches + count, layers + 1
@@ -379,9 +489,8 @@ class _Pairs:
 def corpus_pairs(docs: DataFrame, text: str = "text") -> PairCost:
     """The pair cost of a corpus, counted over all its distinct texts; repeated ones count twice, however many.
 
-    East Asian characters and digits count as one symbol per block, so the table is bounded
-    by the square of the alphabets, not by the corpus; counts are summed per partition before
-    the shuffle.
+    Characters outside the legacy alphabets count as one symbol, so the table is bounded by
+    the square of these, not by the corpus; counts are summed per partition before the shuffle.
     """
     counted = (
         docs.select(F.col(text).alias("text"))
