@@ -186,6 +186,32 @@ def test_containers_hold_every_text_once(spark):
     assert all(r.pieces == 1 for r in got if r.doc_id != 1000)
 
 
+def test_partitions_exchange_until_nothing_is_gained(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join("word" for _ in range(rng.randint(1, 40)))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    filled = packing.fill_containers(df, capacity=64, items_per_part=60).cache()
+    one = packing.certificate(packing.fill_containers(df, capacity=64), 64).where("part IS NULL").first()
+    report = {r.part: r for r in packing.certificate(filled, 64).collect()}
+    whole = report.pop(None)
+    assert len(report) > 10 and sum(r["items"] for r in report.values()) == whole["items"] == 900
+    assert sum(r.containers for r in report.values()) == whole.containers == filled.select("box").distinct().count()
+    assert all(r.gap == r.containers - r.bound >= 0 for r in (whole, *report.values())) and whole.bound == one.bound
+    assert filled.select("doc_id").distinct().count() == 900 and filled.groupBy("box").agg(F.sum("tokens").alias("t")).agg(F.max("t")).first()[0] <= 64
+    first = sum(int(packing.best_fit_decreasing(np.array(g), 64).max()) + 1 for g in _parts(filled, 15))
+    alone = int(packing.best_fit_decreasing(np.array([r.tokens for r in filled.collect()]), 64).max()) + 1
+    assert whole.containers < first and whole.containers <= alone + 3
+    empty = packing.fill_containers(df.limit(0), capacity=64)
+    assert empty.count() == 0 and packing.certificate(empty, 64).count() == 0
+
+
+def _parts(filled, n):
+    groups = {}
+    for r in filled.select("doc_id", "tokens").collect():
+        groups.setdefault(r.doc_id % n, []).append(r.tokens)
+    return groups.values()
+
+
 # ---- leakage
 
 def test_leaks_against_brute_force(spark):

@@ -1,10 +1,11 @@
 """Texts packed into containers of fixed token capacity, certified by lower bounds.
 
 Method: bound-certified repacking. Items are hashed over partitions; each partition is packed
-by best-fit decreasing and its container count held against the best of several dual
-feasible function bounds. A partition that meets its bound cannot be packed better. The open
-containers of the partitions with a gap are pooled in groups, packed again, and the new
-packing is kept where it takes fewer containers; this repeats with wider groups.
+by best-fit decreasing. While all containers together are more than the best of several dual
+feasible function bounds of all items, partitions exchange: their containers with room are
+dealt anew over partitions of the same size, packed again, and the new packing is kept where it
+takes fewer containers. This repeats until the bound is met or a round gains nothing.
+``certificate`` reports containers, bound and gap of every partition and of the whole.
 
 A text is cut only if it alone exceeds the capacity; its pieces are full but for the last and
 join to the text. Null and empty texts are no items.
@@ -30,9 +31,7 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Items a partition holds on average: thousands of containers, a few seconds of packing.
 ITEMS_PER_PART = 20_000
-#: Partitions whose open containers are pooled in each further round.
-POOLS = (8, 8)
-#: Containers filled to less than this share, and at least the emptiest, are opened for the exchange.
+#: Containers filled to less than this share, and at least the emptiest of a partition, are opened for the exchange.
 OPEN_BELOW = 0.995
 #: Fixed value: the public pre-tokenizing pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -151,50 +150,91 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
+_ITEM = ["key", "piece_no", "pieces", "start", "end", "tokens"]
+
+
 def _pack(capacity: int):
-    """Pack one partition; rows of closed containers keep their place, open ones are packed anew."""
+    """Pack one partition anew, and keep the packing where it takes fewer containers than before.
+
+    ``heads`` marks one item of each container, ``open`` those of containers for the exchange.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "key", "piece_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         old = pdf["box"].nunique() if pdf["box"].notna().all() else None
         sizes = pdf["tokens"].to_numpy(np.int64)
         where = best_fit_decreasing(sizes, capacity)
-        boxes, bound = int(where.max()) + 1, lower_bound(sizes, capacity)
+        boxes = int(where.max()) + 1
         if old is None or boxes < old:
-            part = str(pdf["label"].iloc[0])
-            pdf["box"] = [f"{part}-{b}" for b in where]
-        else:
-            boxes = old
+            pdf["box"] = [f"{label}-{b}" for label, b in zip(pdf["part"], where)]
         fill = pdf.groupby("box")["tokens"].transform("sum")
-        emptiest = fill.min()
-        gap = boxes > bound
-        pdf["open"] = (gap & ((fill < capacity * OPEN_BELOW) | (fill == emptiest))) if gap else False
-        pdf["gap"] = boxes - bound
-        return pdf[["key", "piece_no", "pieces", "start", "end", "tokens", "part", "box", "open", "gap"]]
+        pdf["open"] = (fill < capacity * OPEN_BELOW) | (fill == fill.min())
+        pdf["heads"] = ~pdf["box"].duplicated()
+        return pdf[[*_ITEM, "part", "box", "open", "heads"]]
 
     return run
 
 
-def fill_containers(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """(key, piece_no, pieces, start, end, tokens, box): the container of every item.
+def _bound_of(counts: DataFrame, capacity: int) -> int:
+    """The lower bound of all items: one row per size comes to the driver, ``capacity`` at most."""
+    rows = counts.groupBy("tokens").agg(F.count("*").alias("n")).toArrow()
+    return lower_bound(np.repeat(rows["tokens"].to_numpy(), rows["n"].to_numpy()), capacity)
+
+
+def fill_containers(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", items_per_part: int = ITEMS_PER_PART
+) -> DataFrame:
+    """(key, piece_no, pieces, start, end, tokens, part, box): the container of every item, and the partition it was last packed in.
 
     Each round's packing is a table in the shared folder. Partitions are spread by a hash of
-    key and piece, so no key, source or group of copies gathers in one of them.
+    key and piece, so no key, source or group of copies gathers in one of them; an exchange
+    deals whole containers.
     """
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, piece_no int, pieces int, start int, end int, tokens int, part long, box string, open boolean, gap int"
+    schema = f"key {kind}, piece_no int, pieces int, start int, end int, tokens int, part string, box string, open boolean, heads boolean"
     sizes = durable(item_sizes(docs, key, text, capacity, vocabulary), "sizes")
-    parts = max(1, -(-sizes.count() // ITEMS_PER_PART))
-    spread = sizes.withColumn("part", F.pmod(F.xxhash64("key", "piece_no"), F.lit(parts))).withColumn("box", F.lit(None).cast("string"))
-    packed = durable(spread.withColumn("label", F.concat(F.lit("a"), "part")).groupBy("part").applyInPandas(_pack(capacity), schema), "packed")
-    closed = []
-    for no, width in enumerate(POOLS):
-        if parts == 1:
+
+    def dealt(rows: DataFrame, by: list, count: int, no: int) -> DataFrame:
+        label = F.concat(F.lit(f"{no}."), F.pmod(F.xxhash64(*by, F.lit(no)), F.lit(max(1, -(-count // items_per_part)))))
+        return durable(rows.withColumn("part", label).groupBy("part").applyInPandas(_pack(capacity), schema), "packed")
+
+    def counted(rows: DataFrame) -> tuple[int, int, int]:
+        r = rows.agg(F.count_if("heads").alias("boxes"), F.count_if("open").alias("items"), F.count_if(F.col("open") & F.col("heads")).alias("held")).first()
+        return r.boxes, r.items, r.held
+
+    packed = dealt(sizes.withColumn("box", F.lit(None).cast("string")), ["key", "piece_no"], sizes.count(), 0)
+    done: list[DataFrame] = []
+    total, items, held = counted(packed)
+    bound = _bound_of(sizes, capacity) if items else total
+    no = 0
+    while items and total > bound:
+        no += 1
+        done.append(packed.where("NOT open"))
+        packed = dealt(packed.where("open").select(*_ITEM, "box"), ["box"], items, no)
+        now, items, still = counted(packed)
+        gain, held = held - now, still
+        total -= gain
+        if not gain:
             break
-        parts = -(-parts // width)
-        closed.append(packed.where("NOT open"))
-        pool = packed.where("open").withColumn("part", F.floor(F.col("part") / width)).withColumn("label", F.concat(F.lit("bcd"[no]), "part"))
-        packed = durable(pool.groupBy("part").applyInPandas(_pack(capacity), schema), "packed")
-    for done in closed:
-        packed = packed.unionByName(done)
-    return packed.select(F.col("key").alias(key), "piece_no", "pieces", "start", "end", "tokens", "box")
+    for rows in done:
+        packed = packed.unionByName(rows)
+    return packed.select(F.col("key").alias(key), *_ITEM[1:], "part", "box")
+
+
+def certificate(filled: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(part, items, tokens, containers, bound, gap) of the partitions of ``fill_containers``; a null part is the whole.
+
+    Bounds follow from how many items of each size there are, so a partition's input is one row
+    per size, and so is that of the whole. Without items there are no rows.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bound = lower_bound(np.repeat(pdf["size"].to_numpy(), pdf["n"].to_numpy()), capacity)
+        boxes, n = int(pdf["boxes"].sum()), int(pdf["n"].sum())
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "items": [n], "tokens": [int((pdf["size"] * pdf["n"]).sum())], "containers": [boxes], "bound": [bound], "gap": [boxes - bound]})
+
+    by_box = filled.groupBy("box").agg(F.min("tokens").alias("tokens"), F.lit(1).alias("boxes"), F.min("part").alias("part"))
+    rows = filled.groupBy("part", "tokens").agg(F.count("*").alias("n")).join(by_box.groupBy("part", "tokens").agg(F.sum("boxes").alias("boxes")), ["part", "tokens"], "left")
+    rows = rows.select("part", F.col("tokens").alias("size"), "n", F.coalesce("boxes", F.lit(0)).alias("boxes"))
+    whole = rows.groupBy("size").agg(F.sum("n").alias("n"), F.sum("boxes").alias("boxes")).select(F.lit(None).cast("string").alias("part"), "size", "n", "boxes")
+    return rows.unionByName(whole).groupBy("part").applyInPandas(run, "part string, items long, tokens long, containers long, bound long, gap long")

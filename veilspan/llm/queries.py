@@ -118,6 +118,11 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_containers(_documents(spark, sf_dir))
 
 
+def p6_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, lower bound and gap of every partition of the packing, and of the whole (null part)."""
+    return packing.certificate(p6_containers(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 13 consecutive words of an item, with the item."""
     return leakage.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
@@ -167,6 +172,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p6_containers": p6_containers,
+    "p6_certificates": p6_certificates,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
     "p8_found": p8_found,
