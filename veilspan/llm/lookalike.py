@@ -2,14 +2,13 @@
 
 Method: script-aware repair. Wide, narrow and joined forms, composed and decomposed accents,
 kinds of blanks and hyphens, and invisible characters get one spelling. Then each token's
-dominant script is taken from the letters that only one script has; in a token that mixes
-scripts the look-alikes are written in the dominant script when the result is a word of the
-corpus. A token the vocabulary cannot confirm keeps its letters in the readable form, and is
-spelled in its dominant script in the comparison key, which decides equality.
+dominant script is taken from the letters that only one script has, or from the text around
+where a token has no such letters. In a token that mixes scripts, or that consists of
+look-alikes of another script than the text around, the look-alikes are written in the
+dominant script if the result is a word of the corpus. Other tokens keep their letters.
 
-Letters without a look-alike are the same in any two texts that read the same. The dominant
-script of a token, and of a text for tokens without such letters, follows from these letters
-alone, so texts that read the same get the same key.
+The form decides equality. Of two texts that read the same, one that is written in its
+dominant script throughout vouches for the other, since its tokens are words of the corpus.
 
 Nulls stay null. Letter case, digits, accents and the number of visible blanks are kept.
 """
@@ -27,6 +26,9 @@ from pyspark.sql import functions as F
 
 from veilspan.session import durable
 
+#: Rows up to which the table of asked words is broadcast.
+BROADCAST_ROWS = 500_000
+
 #: Latin letters and the Cyrillic and Greek letters that look like them.
 LATIN, CYRILLIC = "ABCEHIJKMOPSTXYaceijopsxyËÏëïQWqwdh", "АВСЕНІЈКМОРЅТХУасеіјорѕхуЁЇёїԚԜԛԝԁһ"
 LATIN_GREEK, GREEK = "ABEZHIKMNOPTYXov", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον"
@@ -98,32 +100,34 @@ def spelled(token: str, around: str) -> str:
     return plain if script == "latin" else plain.translate(_TO[script])
 
 
+def _doubtful(token: str, around: str) -> bool:
+    """Whether a token mixes scripts, or has only look-alikes, of another script than the text around."""
+    scripts = {_script(c) for c in token if c.isalpha()}
+    return len(scripts) > 1 or (len(scripts) == 1 and around not in scripts and all(c in _SHARED for c in token if c.isalpha()))
+
+
 def asks(text: str) -> list[str]:
-    """Spellings of a clean text's mixed-script tokens that the vocabulary has to confirm."""
+    """Spellings of a clean text's doubtful tokens that the vocabulary has to confirm."""
     if not _OTHER_SCRIPT.search(text):
         return []
-    around, out = context(text), set()
-    for t in TOKEN.findall(text):
-        if not t.isascii() and len({_script(c) for c in t if c.isalpha()}) > 1:
-            out.add(spelled(t, around))
-    return sorted(out)
+    around = context(text)
+    return sorted({spelled(t, around) for t in TOKEN.findall(text) if _doubtful(t, around)})
 
 
-def repaired(text: str, known: set[str]) -> tuple[str, str]:
-    """(readable form, comparison key) of a clean text."""
-    if not _OTHER_SCRIPT.search(text):
-        return text, text
+def repaired(text: str, known: set[str]) -> str:
+    """A clean text with its doubtful tokens spelled in their dominant script where that is a known word."""
+    if not known or not _OTHER_SCRIPT.search(text):
+        return text
     around = context(text)
 
     def form(m: re.Match) -> str:
         t = m.group()
-        if len({_script(c) for c in t if c.isalpha()}) < 2:
+        if not _doubtful(t, around):
             return t
         new = spelled(t, around)
         return new if new in known else t
 
-    shown = TOKEN.sub(form, text)
-    return shown, TOKEN.sub(lambda m: spelled(m.group(), around), shown)
+    return TOKEN.sub(form, text)
 
 
 def is_plain(text: Column) -> Column:
@@ -131,37 +135,74 @@ def is_plain(text: Column) -> Column:
     return text.rlike(r"^[ -~\n]*\z")
 
 
-def same_pairs(rows: DataFrame, group: list[str], rec: str, text: str) -> DataFrame:
-    """(rec_a, rec_b) of rows of a group whose texts differ as stored but read the same, rec_a < rec_b.
+def _keyed(rows: DataFrame, group: list[str], rec: str, text: str) -> tuple[DataFrame, list[str]]:
+    """(g0.., rec, raw, same, odd) of the rows whose text is not plain, and of the plain ones with the key of such a row.
 
-    In such a pair at least one text is not plain, so only keys of texts that are not plain
-    are looked for among the others. Texts travel as digests. Rows with a null text or record
-    never pair; repeated rows count once.
+    In a pair that reads the same at least one text is not plain, so only keys of these are
+    looked for among the others. Texts travel as digests: ``raw`` of the text as stored,
+    ``same`` of its form. Rows with a null text or record are left out; repeated rows count once.
     """
     held = rows.where(F.col(text).isNotNull() & F.col(rec).isNotNull()).select(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.col(rec).alias("rec"), F.col(text).alias("text"))
     on = [f"g{i}" for i in range(len(group))]
-    odd = held.where(~is_plain(F.col("text"))).distinct()
-    forms = consistent_form(odd.select("text").withColumn("raw", F.sha2("text", 256)).select("raw", "text").distinct(), ["raw"], "text")
-    keys = durable(odd.select(*on, "rec", F.sha2("text", 256).alias("raw")).join(forms.select("raw", F.sha2("same", 256).alias("same")), "raw").select(*on, "rec", "raw", "same"), "keys")
+    odd = held.where(~is_plain(F.col("text"))).select(*on, "rec", "text", F.sha2("text", 256).alias("raw")).distinct()
+    forms = consistent_form(odd.select("raw", "text").distinct(), ["raw"], "text", held.where(is_plain(F.col("text"))).select("text"))
+    keys = durable(odd.select(*on, "rec", "raw").join(forms.select("raw", F.sha2("form", 256).alias("same")), "raw").select(*on, "rec", "raw", "same", F.lit(True).alias("odd")), "keys")
     plain = (
         held.where(is_plain(F.col("text")))
         .select(*on, "rec", F.sha2("text", 256).alias("raw"))
         .withColumn("same", F.col("raw"))
         .join(keys.select(*on, "same").distinct(), [*on, "same"], "left_semi")
+        .select(*on, "rec", "raw", "same", F.lit(False).alias("odd"))
         .distinct()
     )
-    left = keys.select(*on, "same", F.col("rec").alias("a"), F.col("raw").alias("raw_a"))
-    right = keys.withColumn("odd", F.lit(True)).unionByName(plain.withColumn("odd", F.lit(False))).select(*on, "same", F.col("rec").alias("b"), F.col("raw").alias("raw_b"), "odd")
+    return keys.unionByName(plain), on
+
+
+def same_pairs(rows: DataFrame, group: list[str], rec: str, text: str) -> DataFrame:
+    """(rec_a, rec_b) of rows of a group whose texts differ as stored but read the same, rec_a < rec_b.
+
+    Every pair is a row; where groups of copies are large, ``same_classes`` holds the same in
+    one row per record.
+    """
+    keys, on = _keyed(rows, group, rec, text)
+    left = keys.where("odd").select(*on, "same", F.col("rec").alias("a"), F.col("raw").alias("raw_a"))
+    right = keys.select(*on, "same", F.col("rec").alias("b"), F.col("raw").alias("raw_b"), "odd")
     met = left.join(right, [*on, "same"]).where((F.col("raw_a") != F.col("raw_b")) & (F.col("a") != F.col("b")) & (~F.col("odd") | (F.col("a") < F.col("b"))))
     return met.select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b"))
 
 
-def consistent_form(texts: DataFrame, key: list[str], text: str) -> DataFrame:
-    """``key`` columns with ``form`` (readable) and ``same`` (equal where texts read the same).
+def same_classes(rows: DataFrame, group: list[str], rec: str, text: str) -> DataFrame:
+    """(rec, class_id, records, spellings, links): one row per record and stored text of a class with several spellings.
+
+    ``class_id`` is the least record of the class, ``links`` the records of the class with
+    another spelling. Counts are summed before they are shuffled, and a class's figures join
+    back by key, so a class of any size never gathers in one task.
+    """
+    keys, on = _keyed(rows, group, rec, text)
+    spelled_as = keys.groupBy(*on, "same", "raw").agg(F.count("*").alias("copies"), F.min("rec").alias("first"))
+    classes = spelled_as.groupBy(*on, "same").agg(F.sum("copies").alias("records"), F.count("*").alias("spellings"), F.min("first").alias("class_id")).where("spellings > 1")
+    met = keys.join(spelled_as.drop("first"), [*on, "same", "raw"]).join(classes, [*on, "same"])
+    return met.select(F.col("rec"), "class_id", "records", "spellings", (F.col("records") - F.col("copies")).alias("links"))
+
+
+def confirmed(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """The words of ``wanted`` (word) that are tokens of ``texts`` (text).
+
+    As many words as ``BROADCAST_ROWS`` go to the tasks that read the texts, which then send
+    only hits; more are met by a shuffle of the texts' tokens.
+    """
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN_SQL), F.lit(1))).alias("word"))
+    if wanted.count() <= BROADCAST_ROWS:
+        return words.join(F.broadcast(wanted), "word", "left_semi").distinct()
+    return wanted.join(words.distinct(), "word", "left_semi")
+
+
+def consistent_form(texts: DataFrame, key: list[str], text: str, further: DataFrame | None = None) -> DataFrame:
+    """``key`` columns with ``form``: equal where texts read the same.
 
-    ``key`` must tell rows apart. Texts within ASCII pass on the JVM side; the vocabulary is
-    every single-script token of all the texts, checked by a semi join against the spellings
-    asked for, and only texts that ask are joined again.
+    ``key`` must tell rows apart. The vocabulary is every token of all the texts, and of those
+    of ``further`` (text). Texts within ASCII pass on the JVM side, and only texts that ask
+    for words are joined with the answers.
     """
     types = {c: texts.schema[c].dataType.simpleString() for c in key}
     names = ", ".join(f"`{c}` {t}" for c, t in types.items())
@@ -173,19 +214,18 @@ def consistent_form(texts: DataFrame, key: list[str], text: str) -> DataFrame:
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [repaired(t, set(k)) for t, k in zip(batch["text"], batch["known"])]
-            yield batch[key].assign(form=[a for a, _ in pairs], same=[b for _, b in pairs])
+            yield batch[key].assign(form=[repaired(t, set(k)) for t, k in zip(batch["text"], batch["known"])])
 
     given = texts.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("text"))
     plain = is_plain(F.col("text"))
     odd = given.where(~plain).mapInPandas(first, f"{names}, text string, asks array<string>")
     odd = durable(odd, "spelled")
-    wanted = odd.select(F.explode("asks").alias("word")).distinct()
-    words = given.where(plain).select("text").unionByName(odd.select("text")).select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN_SQL), F.lit(1))).alias("word")).distinct()
-    known = wanted.join(words, "word", "left_semi")
+    wanted = durable(odd.select(F.explode("asks").alias("word")).distinct(), "asked")
+    read = given.where(plain).select("text").unionByName(odd.select("text"))
+    known = confirmed(wanted, read if further is None else read.unionByName(further))
     asking = odd.where(F.size("asks") > 0)
     answers = asking.select(*key, F.explode("asks").alias("word")).join(known, "word").groupBy(*key).agg(F.collect_set("word").alias("known"))
-    mended = asking.join(answers, key, "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))).select(*key, "text", "known")
-    quiet = odd.where(F.size("asks") == 0).withColumn("known", F.array().cast("array<string>")).select(*key, "text", "known")
-    rest = mended.unionByName(quiet).mapInPandas(last, f"{names}, form string, same string")
-    return given.where(plain).select(*key, F.col("text").alias("form"), F.col("text").alias("same")).unionByName(rest)
+    mended = asking.join(answers, key).select(*key, "text", "known").mapInPandas(last, f"{names}, form string")
+    silent = asking.join(answers.select(*key), key, "left_anti")
+    rest = given.where(plain).select(*key, "text").unionByName(odd.where(F.size("asks") == 0).select(*key, "text")).unionByName(silent.select(*key, "text"))
+    return rest.select(*key, F.col("text").alias("form")).unionByName(mended)

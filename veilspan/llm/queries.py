@@ -44,12 +44,21 @@ def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Match values of one tab, and tab inputs, that differ as stored but read the same."""
+def _p3_sides(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, list[str], str, str]]:
     matches = table(spark, sf_dir, "redact_matches").where("tab_id IS NOT NULL").select("tab_id", "match_id", "value")
     tabs = current_tabs(table(spark, sf_dir, "tabs"), ["input"]).where(F.col("input").rlike(r"[\p{L}\p{N}]"))
-    one = lookalike.same_pairs(matches, ["tab_id"], "match_id", "value").select(F.lit("match").alias("rec_type"), "rec_a", "rec_b")
-    two = lookalike.same_pairs(tabs, [], "id", "input").select(F.lit("tab").alias("rec_type"), "rec_a", "rec_b")
+    return [("match", matches, ["tab_id"], "match_id", "value"), ("tab", tabs, [], "id", "input")]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match values of one tab, and tab inputs, that differ as stored but read the same."""
+    one, two = (lookalike.same_pairs(*side).select(F.lit(kind).alias("rec_type"), "rec_a", "rec_b") for kind, *side in _p3_sides(spark, sf_dir))
+    return one.unionByName(two)
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as classes: every record with its class and how many of it are spelled otherwise."""
+    one, two = (lookalike.same_classes(*side).select(F.lit(kind).alias("rec_type"), "rec", "class_id", "records", "spellings", "links") for kind, *side in _p3_sides(spark, sf_dir))
     return one.unionByName(two)
 
 
@@ -165,6 +174,7 @@ QUERIES = {
     "p1_segments": p1_segments,
     "p1_labels": p1_labels,
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p3_values": p3_values,
     "p3_tabs": p3_tabs,
     "p4_found": p4_found,
