@@ -24,6 +24,5 @@ def test_rule_list():
     assert C.UserRule("a", "  ", "exact", "x").kind == "Custom"
 
 
-def test_java_pattern_keeps_optional_neighbours_two_sided():
-    assert C.java_pattern(r"\b1?x").startswith("(?:")
-    assert C.java_pattern(r"\b0\d\b") == r"(?<![A-Za-z0-9_])0\d(?![A-Za-z0-9_])"
+def test_blanks_are_spelled_out():
+    assert C.blanks(r"a\sb[\s-]\S[\s\S]", body="_") == r"a[_]b[_-][^_][\s\S]"

@@ -1,8 +1,8 @@
 """Taxonomy, built-in detection rules and user rules.
 
 Patterns are written in the ASCII dialect: ``\\b`` and ``\\d`` know ASCII only, ``\\s`` is
-the full set of blanks listed in ``BLANKS``. ``java`` and ``re2`` spell a pattern for Spark's
-regular expressions and for an SQL engine with RE2.
+the full set of blanks listed in ``BLANKS``. ``re2`` spells a pattern for an SQL engine with
+RE2; ``operators.scan`` for the detectors. User patterns have a dialect of their own.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import re
 import time
 from dataclasses import dataclass, replace
 
+from veilspan.dialect import compiled
+
 #: The kinds of personal data, in their order.
 TAXONOMY = ["account_number", "private_address", "private_date", "private_email", "private_person", "private_phone", "private_url", "secret"]
 
@@ -22,8 +24,7 @@ BLANKS = r"\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205
 class Rule:
     """A detection rule.
 
-    ``hint`` is a cheap necessary condition on a text, as a pattern; ``first`` the characters a
-    hit may start with, as a class body, so that a search skips most places after one look.
+    ``hint`` is a cheap necessary condition on a text, as a pattern.
     """
 
     prefix: str
@@ -32,31 +33,25 @@ class Rule:
     ignore_case: bool = False
     validator: str | None = None
     hint: str | None = None
-    first: str | None = None
-
-    @property
-    def java(self) -> str:
-        guard = f"(?=[{blanks(self.first, True)}])" if self.first else ""
-        return ("(?i)" if self.ignore_case else "") + guard + f"(?:{java_pattern(self.pattern)})"
 
     @property
     def re2(self) -> str:
         return ("(?i)" if self.ignore_case else "") + blanks(self.pattern)
 
 
-def blanks(pattern: str, inside: bool = False) -> str:
+def blanks(pattern: str, body: str = BLANKS) -> str:
     """``\\s`` and ``\\S`` spelled out, inside and outside of character classes; [\\s\\S] stays."""
-    out, i = [], 0
+    out, i, inside = [], 0, False
     while i < len(pattern):
         two = pattern[i : i + 2]
         if pattern.startswith(r"[\s\S]", i):
             out.append(r"[\s\S]")
             i += 6
         elif two == r"\s":
-            out.append(BLANKS if inside else f"[{BLANKS}]")
+            out.append(body if inside else f"[{body}]")
             i += 2
         elif two == r"\S" and not inside:
-            out.append(f"[^{BLANKS}]")
+            out.append(f"[^{body}]")
             i += 2
         elif two[0] == "\\":
             out.append(two)
@@ -68,30 +63,6 @@ def blanks(pattern: str, inside: bool = False) -> str:
     return "".join(out)
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern for Java: its ``\\b`` is Unicode-aware, so ASCII look-arounds take its place.
-
-    Where the neighbour in the pattern is always there and always a word character, one side is enough.
-    """
-    word, out, i = "[A-Za-z0-9_]", [], 0
-    p = blanks(pattern)
-    both = rf"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))"
-    while i < len(p):
-        if p.startswith(r"\b", i) and (i == 0 or p[i - 1] != "\\"):
-            after, before = p[i + 2 : i + 4], p[:i]
-            if re.match(r"(?:[A-Za-z0-9]|\\d|\[[0-9]-[0-9]\])(?![?*])", p[i + 2 :]):
-                out.append(rf"(?<!{word})")
-            elif re.search(r"(?:\\d|[0-9A-Za-z]|\[(?:A-Z|a-z|[0-9]-[0-9]|_)+\])(?:\{[0-9,]+\}|\+)?\)?$", before) and (not after or after[0] in "|)"):
-                out.append(rf"(?!{word})")
-            else:
-                out.append(both)
-            i += 2
-        else:
-            out.append(p[i])
-            i += 1
-    return "".join(out)
-
-
 #: The built-in rules. Kinds, prefixes and patterns define what is found.
 RULES = [
     Rule("private-email", "private_email", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", True, None, "@"),
@@ -103,7 +74,6 @@ RULES = [
         False,
         None,
         "[0-9]{4}",
-        r"0-9+(\s.-",
     ),
     Rule("private-url", "private_url", r"\b(?:https?://|www\.)[A-Z0-9._~:/?#\[\]@!$&'()*+,;=%-]*[A-Z0-9/#]", True, None, "(?i)://|www[.]"),
     Rule(
@@ -114,7 +84,6 @@ RULES = [
         True,
         None,
         "[0-9]{2}",
-        "0-9jfmasond",
     ),
     Rule(
         "secret",
@@ -126,10 +95,10 @@ RULES = [
         None,
         "sk_|AKIA|ASIA|gh[pousr]_|github_pat_|eyJ|-----BEGIN",
     ),
-    Rule("credit-card", "account_number", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", False, "luhn", "[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "0-9"),
-    Rule("kr-registration", "account_number", r"\b[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])-?[1-8][0-9]{6}\b", False, "kr_registration", "[0-9]{7}", "0-9"),
-    Rule("jp-my-number", "account_number", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", False, "jp_my_number", "[0-9]{4}[ -]?[0-9]{4}", "0-9"),
-    Rule("jp-corporate", "account_number", r"\b[1-9][0-9]{12}\b", False, "jp_corporate", "[0-9]{13}", "0-9"),
+    Rule("credit-card", "account_number", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", False, "luhn", "[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"),
+    Rule("kr-registration", "account_number", r"\b[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])-?[1-8][0-9]{6}\b", False, "kr_registration", "[0-9]{7}"),
+    Rule("jp-my-number", "account_number", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", False, "jp_my_number", "[0-9]{4}[ -]?[0-9]{4}"),
+    Rule("jp-corporate", "account_number", r"\b[1-9][0-9]{12}\b", False, "jp_corporate", "[0-9]{13}"),
     Rule("jp-postal", "private_address", r"〒[ \t]*[0-9]{3}-?[0-9]{4}\b", False, None, "〒"),
 ]
 
@@ -138,14 +107,14 @@ BIOES_LABELS = ["O", *(f"{b}-{k}" for k in TAXONOMY for b in "BIES")]
 
 #: Other names of the kinds, by kind.
 KIND_ALIASES = {
-    "private_person": "per person name person_name person_alias proper_name",
-    "private_email": "email email_address",
-    "private_phone": "phone phone_number telephone",
-    "private_address": "address addr location postal_address geo_location",
-    "private_date": "date date_of_birth",
-    "private_url": "url website identifying_link",
-    "account_number": "iban account account_number account_identifier bank_account_identifier payment_card",
-    "secret": "password secret api_key token auth_secret payment_card_security",
+    "private_person": ["per", "person", "name", "person_name", "person_alias", "proper_name"],
+    "private_email": ["email", "email_address"],
+    "private_phone": ["phone", "phone_number", "telephone"],
+    "private_address": ["address", "addr", "location", "postal_address", "geo_location"],
+    "private_date": ["date", "date_of_birth"],
+    "private_url": ["url", "website", "identifying_link"],
+    "account_number": ["iban", "account", "account_number", "account_identifier", "bank_account_identifier", "payment_card"],
+    "secret": ["password", "secret", "api_key", "token", "auth_secret", "payment_card_security"],
 }
 
 
@@ -176,11 +145,8 @@ class InvalidRule(ValueError):
 
 
 def valid_regex(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+    """Whether a user pattern is valid in its dialect."""
+    return compiled(pattern) is not None
 
 
 def find_duplicate(rules: list[UserRule], mode: str, pattern: str, except_id: str | None = None) -> UserRule | None:

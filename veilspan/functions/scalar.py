@@ -34,7 +34,7 @@ def badge_label(match_id: Column, kind: Column) -> Column:
 def normal_kind(kind: Column) -> Column:
     """A model's label in the taxonomy: lower case, blanks and hyphens to underscores, other names resolved; unknown ones stay."""
     k = F.translate(F.lower(kind), " -", "__")
-    pairs = [F.lit(x) for target, names in KIND_ALIASES.items() for n in names.split() for x in (n, target)]
+    pairs = [F.lit(x) for target, names in KIND_ALIASES.items() for n in names for x in (n, target)]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), k), k)
 
 

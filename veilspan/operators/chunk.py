@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veilspan.catalog import BLANKS, blanks
 from veilspan.functions.let import let
+from veilspan.operators import scan
 from veilspan.operators.spans import outside
 
 TOKEN_LIMIT = 1000
@@ -61,14 +62,7 @@ def chunk_rows(docs: DataFrame, key: str, text: str, limit: int = TOKEN_LIMIT) -
 
 def page_ranges(pages: Column, boxes: Column) -> Column:
     """array<struct<page, start, end>>: where the characters of each page begin and end; pages without any are left out."""
-    places = F.filter(F.transform(boxes, lambda b, i: F.struct(b["pageIndex"].alias("page"), i.alias("at"))), lambda x: x["page"].isNotNull())
-
-    def ranges(x: Column) -> Column:
-        by_page = F.transform(pages, lambda p: F.struct(p["index"].alias("page"), F.transform(F.filter(x, lambda c: c["page"] == p["index"]), lambda c: c["at"]).alias("at")))
-        full = F.filter(by_page, lambda p: F.size(p["at"]) > 0)
-        return F.transform(full, lambda p: F.struct(p["page"].cast("int").alias("page"), F.array_min(p["at"]).cast("int").alias("start"), (F.array_max(p["at"]) + 1).cast("int").alias("end")))
-
-    return let(places, ranges)
+    return scan.page_ranges(F.transform(pages, lambda p: p["index"]), F.transform(boxes, lambda b: b["pageIndex"]))
 
 
 def page_chunks(text: Column, ranges: Column, limit: int = TOKEN_LIMIT) -> Column:

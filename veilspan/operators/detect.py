@@ -1,29 +1,25 @@
 """Detectors: text in, spans out.
 
 A span is struct(match_id, kind, value, start, end) with half-open offsets in code points.
-The native detector marks the hits of a pattern in one pass, splits the text at the marks and
-sums lengths: no row leaves the JVM and nothing shuffles. Hits of one rule never overlap;
-rules are scanned independently, so spans of different rules may. Null texts have no spans.
+A detector is one Arrow pass over the texts that can have a hit: all its rules search a text
+while it is there, checks run on the hits only, and the cost grows with text and hits. No
+shuffle. Hits of one rule never overlap; rules are scanned independently, so spans of
+different rules may. Null texts have no spans.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.catalog import RULES, Rule, UserRule, blanks, java_pattern, valid_regex
-from veilspan.functions.let import let
-from veilspan.operators.validate import accepted
-
-SPAN = "struct<match_id:string,kind:string,value:string,start:int,end:int>"
-#: A character that stands in no text (a Unicode noncharacter); texts that hold it get U+FFFD there.
-_MARK = "\ufdd0"
+from veilspan.catalog import RULES, Rule, UserRule
+from veilspan.operators import scan
+from veilspan.operators.scan import SPAN
 
 
 class Detector(Protocol):
@@ -32,52 +28,26 @@ class Detector(Protocol):
     def __call__(self, text: Column) -> Column: ...
 
 
-def hits(text: Column, pattern: str) -> Column:
-    """array<struct<value, start, ordinal>> of the non-empty hits of a Java pattern, in order.
-
-    Ordinals count all hits, also those later rejected.
-    """
-    marked = F.regexp_replace(F.translate(text, _MARK, "\ufffd"), F.lit(f"(?:{pattern})"), F.lit(f"{_MARK}$0{_MARK}"))
-    return let(F.split(marked, _MARK, -1), _between_marks)
-
-
-def _between_marks(parts: Column) -> Column:
-    """Every second part with its place: the running sum of the lengths before it."""
-    bounds = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)))
-    odd = F.filter(F.arrays_zip(parts.alias("value"), bounds.alias("start")), lambda x, i: (i % 2 == 1) & x["value"].isNotNull())
-    return F.transform(odd, lambda x, i: F.struct(x["value"].alias("value"), x["start"].cast("int").alias("start"), i.cast("int").alias("ordinal")))
-
-
-def _spans(found: Column, prefix: Column | str, kind: Column | str) -> Column:
-    lit = lambda v: F.lit(v) if isinstance(v, str) else v
-    return F.transform(
-        found,
-        lambda h: F.struct(
-            F.concat_ws("-", lit(prefix), h["start"], h["ordinal"]).alias("match_id"),
-            lit(kind).alias("kind"),
-            h["value"].alias("value"),
-            h["start"].alias("start"),
-            (h["start"] + F.length(h["value"])).cast("int").alias("end"),
-        ),
-    )
-
-
 def empty_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def rule_spans(text: Column, rule: Rule) -> Column:
-    """Validated spans of one built-in rule; texts without the rule's hint are not searched."""
-    raw = hits(text, rule.java)
-    if rule.validator:
-        raw = F.filter(raw, lambda h: accepted(rule.validator, text, h["value"], h["start"], h["start"] + F.length(h["value"])))
-    found = _spans(raw, rule.prefix, rule.kind)
-    return F.when(text.rlike(rule.hint), found).otherwise(empty_spans()) if rule.hint else F.coalesce(found, empty_spans())
+def built_in(rules: Iterable[Rule] = RULES, unicode: bool = False) -> Detector:
+    """The given rules, as one array in rule order.
 
+    Texts without any rule's hint stay on the JVM side. With ``unicode`` word bounds, digits
+    and blanks are those of all scripts, but for the rules of one country's numbers.
+    """
+    held = list(rules)
+    run = scan.span_scan([scan.rule_spec(r, unicode) for r in held])
+    hints = [r.hint for r in held if r.hint] if not unicode else []
+    some = "|".join(f"(?:{h})" for h in hints) if len(hints) == len(held) else None
+    return lambda text: run(F.when(text.rlike(some), text) if some else text)
 
-def built_in(rules: Iterable[Rule] = RULES) -> Detector:
-    """All built-in rules, as one array in rule order."""
-    return lambda text: F.concat(*[rule_spans(text, r) for r in rules])
+
+def rule_spans(text: Column, rule: Rule) -> Column:
+    """Validated spans of one built-in rule."""
+    return built_in([rule])(text)
 
 
 def literal(pattern: str) -> str:
@@ -85,20 +55,28 @@ def literal(pattern: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", pattern)
 
 
-def user_rule_spans(text: Column, rule: UserRule) -> Column:
-    """Spans of a user rule: exact is case-sensitive, regex is not; a bad or empty pattern finds nothing."""
-    if not rule.pattern or (rule.mode == "regex" and not valid_regex(rule.pattern)):
-        return empty_spans()
-    pattern = f"(?iu){java_pattern(rule.pattern)}" if rule.mode == "regex" else literal(rule.pattern)
-    found = F.filter(_spans(hits(text, pattern), f"custom-{rule.id}", rule.kind), lambda s: s["end"] > s["start"])
-    there = text.rlike(pattern) if rule.mode == "regex" else F.contains(text, F.lit(rule.pattern))
-    return F.when(there, found).otherwise(empty_spans())
+def user_rules(rules: Iterable[UserRule]) -> Detector:
+    """All user rules: exact ones mind letter case, regex ones (``dialect``) do not; bad and empty patterns find nothing.
 
+    Rules are bound when the plan is built, so later edits change no result.
+    """
+    bound = [scan.user_spec(r) for r in rules if r.pattern]
+    run = scan.span_scan(bound)
+    return lambda text: run(text) if bound else empty_spans()
 
-def user_rules(rules: Iterable[UserRule]) -> Detector:
-    """All user rules; they are bound when the plan is built, so later edits change no result."""
-    bound = list(rules)
-    return lambda text: F.concat(*[user_rule_spans(text, r) for r in bound]) if bound else empty_spans()
+
+def model_spans(run: Callable[[Column], Column]) -> Detector:
+    """A model's Arrow function (text -> spans) as a detector."""
+    return lambda text: run(text)
+
+
+def detector(backend: str, rules: Iterable[Rule] = RULES, models: dict[str, Detector] | None = None, unicode: bool = False) -> Detector:
+    """The detector of a backend name: that of a loaded model, else the rules; a model that is not loaded is an error."""
+    if backend in (models or {}):
+        return models[backend]
+    if backend in ("onnx", "bardsai"):
+        raise LookupError(f"model of backend {backend!r} is not loaded")
+    return built_in(rules, unicode)
 
 
 def detect(docs: DataFrame, detectors: list[Detector], text: str = "text", out: str = "matches") -> DataFrame:
@@ -110,25 +88,9 @@ def detect(docs: DataFrame, detectors: list[Detector], text: str = "text", out:
     return docs.withColumn(out, ordered(joined))
 
 
-def detect_arrow(docs: DataFrame, key: str, text: str = "text", rules: Iterable[Rule] = RULES) -> DataFrame:
-    """(key, rule prefix, ordinal, value, start, end) of raw hits in one Arrow pass per batch.
-
-    The alternative to the native detector for very long texts with many hits; hits are not
-    validated here.
-    """
-    held = [(r.prefix, r.kind, re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", blanks(r.pattern)), r.ignore_case) for r in rules]
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(p, k, re.compile(q, re.ASCII | (re.I if i else 0))) for p, k, q, i in held]
-        for batch in batches:
-            rows = [
-                (at, p, k, n, m.group(), m.start(), m.end())
-                for at, t in zip(batch["key"], batch["text"])
-                if t
-                for p, k, c in compiled
-                for n, m in enumerate(c.finditer(t))
-            ]
-            yield pd.DataFrame(rows, columns=["key", "rule", "kind", "ordinal", "value", "start", "end"])
-
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, rule string, kind string, ordinal int, value string, start int, end int").withColumnRenamed("key", key)
+def raw_hits(docs: DataFrame, key: str, text: str = "text", rules: Iterable[Rule] = RULES) -> DataFrame:
+    """(key, rule prefix, kind, ordinal, value, start, end) of all hits, those a check rejects too."""
+    unchecked = [scan.rule_spec(Rule(r.prefix, r.kind, r.pattern, r.ignore_case, None, r.hint)) for r in rules]
+    rows = docs.select(F.col(key).alias("_key"), F.inline(scan.span_scan(unchecked)(F.col(text))))
+    at = F.regexp_extract("match_id", "^(.*)-[0-9]+-([0-9]+)$", 1)
+    return rows.select(F.col("_key").alias(key), at.alias("rule"), "kind", F.regexp_extract("match_id", "-([0-9]+)$", 1).cast("int").alias("ordinal"), "value", "start", "end")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from veilspan.catalog import BIOES_LABELS, KIND_ALIASES
 
 Span = tuple[str, int, int]
-_ALIAS = {n: kind for kind, names in KIND_ALIASES.items() for n in names.split()}
+_ALIAS = {n: kind for kind, names in KIND_ALIASES.items() for n in names}
 #: Punctuation that joins two parts of one entity.
 _CONNECTORS = frozenset("!\"#$%&'()*+-./:<=>?@[\\]^_`{|}~")
 

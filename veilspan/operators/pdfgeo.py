@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspan.functions.let import let
 from veilspan.functions.scalar import trimmed
+from veilspan.operators import scan
 
 BOX = "struct<pageIndex:int,x:double,y:double,width:double,height:double>"
 
@@ -60,22 +60,12 @@ def char_boxes(text: Column, box: Column, split: Column) -> Column:
     return F.when(n == 0, F.array().cast(f"array<{BOX}>")).when(split, share).otherwise(F.array_repeat(box, n))
 
 
-def nearest_literal(text: Column, value: Column, target: Column) -> Column:
-    """Start of the occurrence of a literal nearest to a place, the earlier of two; null if there is none."""
-    def nearest(parts: Column) -> Column:
-        bounds = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)))
-        starts = F.transform(F.slice(bounds, 2, F.size(parts) - 1), lambda b, i: b + i * F.length(value))
-        return F.array_min(F.transform(starts, lambda s: F.struct(F.abs(s - target).alias("d"), s.alias("s"))))["s"]
-
-    return F.when((F.length(value) > 0) & F.contains(text, value), let(F.split(F.replace(text, value, F.lit("\ufdd0")), "\ufdd0", -1), nearest))
-
-
 def drifted_range(text: Column, value: Column, start: Column, end: Column) -> Column:
     """struct(start, end): the span's own place if its value stands there, else the nearest one of the value, or of the trimmed value."""
     own = F.substring(text, start + 1, end - start) == value
-    at = nearest_literal(text, value, start)
+    at = scan.nearest(text, value, start)
     short = trimmed(value)
-    other = F.when((F.length(short) >= 2) & (short != value), nearest_literal(text, short, start))
+    other = F.when((F.length(short) >= 2) & (short != value), scan.nearest(text, short, start))
     pair = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
     # The reach of a trimmed value found instead is still that of the whole value.
     hit = F.coalesce(at, other)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.let import let
+from veilspan.operators import scan
 from veilspan.operators.detect import SPAN, empty_spans
 
 
@@ -27,7 +28,12 @@ def merged(*spans: Column) -> Column:
 
 def usable(spans: Column, text: Column) -> Column:
     """Spans with 0 <= start < end <= length of the text."""
-    return let(F.length(text), lambda n: F.coalesce(F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= n)), empty_spans()))
+    return scan.usable(spans, F.length(text))
+
+
+def truthful(spans: Column, text: Column) -> Column:
+    """Spans whose value stands at their place in the text."""
+    return scan.truthful(spans, text)
 
 
 def rebased(spans: Column, offset: Column, prefix: Column | str = "") -> Column:
@@ -46,7 +52,7 @@ def outside(spans: Column, start: Column, end: Column) -> Column:
 
 def selected(spans: Column, selection: Column) -> Column:
     """Spans the review kept: decision by id, absent means kept; in total order."""
-    return let(selection, lambda d: ordered(F.filter(spans, lambda s: F.coalesce(F.try_element_at(d, s["match_id"]), F.lit(True)))))
+    return scan.selected(spans, selection)
 
 
 def full_selection(spans: Column, previous: Column) -> Column:
@@ -80,9 +86,6 @@ def label(kind: Column, index: Column, index_format: Column) -> Column:
     return F.concat(F.lit("["), F.upper(kind), F.when(index_format == "number", F.concat(F.lit(":"), index.cast("string"))).when(index_format == "id", F.concat(F.lit(":"), index_id(index))).otherwise(""), F.lit("]"))
 
 
-_TOKEN = "struct<token:string,value:string,match_id:string,kind:string,start:int,end:int>"
-
-
 def tokens(spans: Column, index_format: Column) -> Column:
     """The placeholder of each selected span by its place in total order, overlapped ones included."""
     return F.transform(
@@ -93,33 +96,14 @@ def tokens(spans: Column, index_format: Column) -> Column:
     )
 
 
-def resolved(items: Column, kind: str = _TOKEN) -> Column:
+def resolved(items: Column) -> Column:
     """Items kept from left to right: one is kept if it starts at or after the end of the last kept one."""
-    state = F.aggregate(
-        items,
-        F.struct(F.lit(0).alias("cursor"), F.array().cast(f"array<{kind}>").alias("kept")),
-        lambda acc, x: F.when(x["start"] >= acc["cursor"], F.struct(x["end"].alias("cursor"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc),
-    )
-    return state["kept"]
+    return scan.resolved(items)
 
 
 def segments(text: Column, kept: Column, replacement: str = "token") -> Column:
     """array<struct<text, match_id>> that makes up the result; empty plain stretches are left out."""
-    return let(kept, lambda k: _segments(text, k, replacement))
-
-
-def _segments(text: Column, kept: Column, replacement: str) -> Column:
-    plain = lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("match_id"))
-    ends = F.concat(F.array(F.lit(0)), F.transform(kept, lambda x: x["end"]))
-    pairs = F.flatten(
-        F.transform(
-            F.filter(F.arrays_zip(kept.alias("k"), ends.alias("b")), lambda p: p["k"].isNotNull()),
-            lambda p: F.array(plain(F.substring(text, p["b"] + 1, p["k"]["start"] - p["b"])), F.struct(p["k"][replacement].alias("text"), p["k"]["match_id"].alias("match_id"))),
-        )
-    )
-    cursor = F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0))
-    tail = F.array(plain(F.substring(text, cursor + 1, F.greatest(F.length(text) - cursor, F.lit(0)))))
-    return F.filter(F.concat(pairs, tail), lambda s: s["match_id"].isNotNull() | (F.length(s["text"]) > 0))
+    return scan.segments(text, kept, replacement)
 
 
 def joined(parts: Column) -> Column:
@@ -141,24 +125,7 @@ def located(text: Column, spans: Column, index_format: Column) -> Column:
     Repeated placeholders are taken in turn: the k-th span with a placeholder gets its k-th
     place. Placeholders that are not found are left out.
     """
-    all_tokens = tokens(spans, index_format)
-    return F.aggregate(
-        all_tokens,
-        F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("at"), F.array().cast(f"array<{_TOKEN}>").alias("found")),
-        lambda acc, x: _place(text, acc, x),
-        lambda acc: F.transform(F.sort_array(F.transform(acc["found"], lambda f: F.struct(f["start"].alias("a"), f.alias("f")))), lambda k: k["f"]),
-    )
-
-
-def _place(text: Column, acc: Column, x: Column) -> Column:
-    begin = F.coalesce(F.try_element_at(acc["at"], x["token"]), F.lit(0))
-    found = F.call_function("locate", x["token"], text, begin + 1)
-    end = (found - 1 + F.length(x["token"])).cast("int")
-    token = F.struct(x["token"].alias("token"), x["value"].alias("value"), x["match_id"].alias("match_id"), x["kind"].alias("kind"), (found - 1).cast("int").alias("start"), end.alias("end"))
-    return F.when(
-        found > 0,
-        F.struct(F.map_concat(F.map_filter(acc["at"], lambda k, v: k != x["token"]), F.create_map(x["token"], end)).alias("at"), F.array_append(acc["found"], token).alias("found")),
-    ).otherwise(acc)
+    return scan.located(text, tokens(spans, index_format))
 
 
 def restored_segments(text: Column, spans: Column, index_format: Column, emit: str = "value") -> Column:
@@ -174,20 +141,13 @@ def restored(text: Column, spans: Column, index_format: Column) -> Column:
 def input_segments(docs: DataFrame, key: str, text: str, spans: str) -> DataFrame:
     """(key, seg_no, start, end, segment, match_ids): stretches between span bounds with all spans that cover them.
 
-    Bounds are taken per row and each stretch filters its own row's spans, so no join and no
-    shuffle is needed. A text without usable spans is one stretch; an empty text has none.
+    A sweep over each row's bounds keeps the open spans, so the cost grows with spans and
+    output; no join and no shuffle. A text without usable spans is one stretch; an empty text
+    has none.
     """
-    def cut(ok: Column) -> Column:
-        bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.length(text)), F.flatten(F.transform(ok, lambda s: F.array(s["start"], s["end"]))))))
-        pairs = lambda b: F.filter(F.arrays_zip(b.alias("start"), F.slice(b, 2, F.size(b)).alias("end")), lambda p: p["end"].isNotNull())
-        return F.transform(
-            let(bounds, pairs),
-            lambda p: F.struct(
-                p["start"].alias("start"), p["end"].alias("end"), F.transform(F.filter(ok, lambda s: (s["start"] <= p["start"]) & (s["end"] >= p["end"])), lambda s: s["match_id"]).alias("match_ids")
-            ),
-        )
-
-    rows = docs.where(F.length(text) > 0).select(key, F.col(text).alias("_text"), F.posexplode(let(ordered(usable(F.col(spans), F.col(text))), cut)).alias("no", "p"))
+    ok = docs.where(F.length(text) > 0).select(key, F.col(text).alias("_text"), ordered(usable(F.col(spans), F.col(text))).alias("_ok"))
+    swept = scan.stretches(F.length("_text"), F.transform("_ok", lambda s: s["start"]), F.transform("_ok", lambda s: s["end"]), F.transform("_ok", lambda s: s["match_id"]))
+    rows = ok.select(key, "_text", F.posexplode(swept).alias("no", "p"))
     return rows.select(
         key,
         (F.col("no") + 1).alias("seg_no"),

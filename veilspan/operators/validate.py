@@ -1,11 +1,16 @@
-"""Checks of candidate numbers as column expressions.
+"""Checks of candidate numbers: as column expressions, and for the hits of a scan.
 
-Every check takes the matched value; ``isolated`` looks at what stands around it. Nulls give
-null, which a filter treats as a failed check.
+Every column check takes the matched value; ``isolated`` looks at what stands around it. Nulls
+give null, which a filter treats as a failed check. ``CHECKS`` are the same checks on a hit's
+place in its text, by validator name.
 """
 
 from __future__ import annotations
 
+import datetime
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,17 +85,61 @@ def apart(text: Column, start: Column, end: Column) -> Column:
     return ~before.rlike("[0-9][ -]$") & ~F.substring(text, end + 1, F.lit(2)).rlike("^[ -][0-9]")
 
 
-def accepted(validator: str | None, text: Column, value: Column, start: Column, end: Column) -> Column:
-    """Whether a raw hit of a rule passes its check; rules without one accept all."""
-    if validator is None:
-        return F.lit(True)
-    ok = isolated(text, start, end)
-    if validator.startswith("jp_"):
-        ok = ok & apart(text, start, end)
-    check = {
-        "luhn": card_valid,
-        "kr_registration": lambda v: kr_class(v) != "invalid",
-        "jp_my_number": jp_my_number_valid,
-        "jp_corporate": jp_corporate_valid,
-    }[validator]
-    return ok & check(value)
+# ---------------------------------------------------------------- hits of a scan
+
+
+def _weighed(digits_: str, weights: list[int]) -> int:
+    return sum(int(d) * w for d, w in zip(digits_, weights))
+
+
+def _plain(value: str) -> str:
+    return value.replace(" ", "").replace("-", "")
+
+
+def _card(value: str) -> bool:
+    d = _plain(value)
+    if not 13 <= len(d) <= 19 or len(set(d)) == 1:
+        return False
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def _kr(value: str) -> bool:
+    d = _plain(value)
+    if not re.fullmatch("[0-9]{6}[1-8][0-9]{6}", d):
+        return False
+    try:
+        datetime.date((1900 if d[6] in "1256" else 2000) + int(d[:2]), int(d[2:4]), int(d[4:6]))
+    except ValueError:
+        return False
+    return True
+
+
+def _my_number(value: str) -> bool:
+    d = _plain(value)
+    rest = _weighed(d, [6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2]) % 11
+    return len(d) == 12 and len(set(d)) > 1 and int(d[11]) == (0 if rest <= 1 else 11 - rest)
+
+
+def _corporate(value: str) -> bool:
+    d = _plain(value)
+    return len(d) == 13 and d[0] != "0" and len(set(d)) > 1 and int(d[0]) == 9 - _weighed(d[1:], [2, 1] * 6) % 9
+
+
+def _alone(text: str, a: int, b: int) -> bool:
+    return text[max(0, a - 1) : a] not in _ASCII_DIGITS and text[b : b + 1] not in _ASCII_DIGITS
+
+
+def _ungrouped(text: str, a: int, b: int) -> bool:
+    return not re.fullmatch("[0-9][ -]", text[max(0, a - 2) : a]) and not re.fullmatch("[ -][0-9]", text[b : b + 2])
+
+
+_ASCII_DIGITS = frozenset("0123456789")
+
+#: Validator name -> (text, start, end) -> accepted; null for rules without a check.
+CHECKS: dict[str | None, Callable[[str, int, int], bool] | None] = {
+    None: None,
+    "luhn": lambda t, a, b: _alone(t, a, b) and _card(t[a:b]),
+    "kr_registration": lambda t, a, b: _alone(t, a, b) and _kr(t[a:b]),
+    "jp_my_number": lambda t, a, b: _alone(t, a, b) and _ungrouped(t, a, b) and _my_number(t[a:b]),
+    "jp_corporate": lambda t, a, b: _alone(t, a, b) and _ungrouped(t, a, b) and _corporate(t[a:b]),
+}

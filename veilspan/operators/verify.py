@@ -7,41 +7,29 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.catalog import TAXONOMY, UserRule
+from veilspan.catalog import RULES, TAXONOMY, UserRule
 from veilspan.functions.let import let
+from veilspan.operators import scan
 from veilspan.operators.chunk import is_blank
-from veilspan.operators.detect import SPAN, built_in, empty_spans, user_rules
+from veilspan.operators.detect import empty_spans
 
-#: What the report does not cover.
+#: What a clean report does not say, given what this engine looks at.
 LIMITATIONS = [
-    "Not a proof that the document holds no personal data.",
-    "Extractable text only: no images, metadata, attachments or hidden objects.",
-    "Rules, user rules and exact selected values only: no model scan.",
-    "Text extraction may split or change a value so that it is missed.",
+    "Searched: the text that could be extracted, page by page. Not searched: pictures, annotations, form data, file properties.",
+    "Searched with: built-in rules, user rules, and the selected values letter by letter. No classifier reads the export.",
+    "A value that extraction breaks over two pages, or joins with its neighbours, is not found.",
+    "No finding means that nothing of the above was found, not that nothing is there.",
 ]
 
 
-def literal_spans(text: Column, value: Column, kind: Column, match_id: Column) -> Column:
-    """Non-overlapping places of a literal, left to right; none for an empty or null value."""
-    size = F.length(value)
-
-    def places(parts: Column) -> Column:
-        bounds = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)))
-        return F.transform(
-            F.slice(bounds, 2, F.size(parts) - 1),
-            lambda b, i: F.struct(match_id.alias("match_id"), kind.alias("kind"), value.alias("value"), (b + i * size).cast("int").alias("start"), (b + (i + 1) * size).cast("int").alias("end")),
-        )
-
-    found = let(F.split(F.replace(text, value, F.lit("\ufdd0")), "\ufdd0", -1), places)
-    return F.when((F.coalesce(size, F.lit(0)) > 0) & F.contains(text, value), found).otherwise(empty_spans())
-
-
 def residual_spans(text: Column, chosen: Column, rules: Iterable[UserRule] = ()) -> Column:
-    """Spans of all rules and of the chosen spans' values, one per (kind, start, end)."""
+    """array<struct<kind, start, end>> of all rules and of the chosen spans' values, each place and kind once.
+
+    Literals are taken left to right without overlap; empty and null values find nothing.
+    """
     values = F.array_distinct(F.transform(F.coalesce(chosen, empty_spans()), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
-    literal = F.flatten(F.transform(values, lambda v: literal_spans(text, v["value"], v["kind"], F.lit("literal"))))
-    every = F.concat(built_in()(text), user_rules(rules)(text), literal)
-    return F.array_distinct(F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    specs = [scan.rule_spec(r) for r in RULES] + [scan.user_spec(r) for r in rules if r.pattern]
+    return scan.residual_scan(specs)(text, values)
 
 
 def reported_kind(kind: Column) -> Column:
@@ -89,5 +77,3 @@ def blob_hash(content: Column) -> Column:
     """SHA-1 of content with the header that version control puts before it."""
     return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string")), "UTF-8"), F.unhex(F.lit("00")), content))
 
-
-__all__ = ["SPAN", "literal_spans", "residual_spans", "residual_report", "document_report", "content_hash", "blob_hash", "reported_kind", "LIMITATIONS"]

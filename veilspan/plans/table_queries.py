@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import scalar
 from veilspan.operators import chunk, model, pdfgeo, report, spans
-from veilspan.plans.span_queries import _TABS_SQL, _label_sql, quoted
+from veilspan.plans.span_queries import _TABS_SQL, _all_rules_sql, _label_sql, quoted
 from veilspan.session import parsed_json, shared_dir, spread, table
 from veilspan.sources import sinks
-from veilspan.sources.files import load_history, load_tabs
+from veilspan.sources.files import load_history, load_tabs, rule_rows
 from veilspan.streaming import stream
 
 # ------------------------------------------------------------------ tabs
@@ -74,7 +74,7 @@ SELECT kind, array_to_string(list_transform(ps, lambda x: upper(x[1]) || x[2:]),
 
 def result_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exported span list of each tab: selected flag and placeholder."""
-    t = load_tabs(table(spark, sf_dir, "tabs")).withColumn("matches", spans.usable(F.col("matches"), F.col("input")))
+    t = load_tabs(table(spark, sf_dir, "tabs"), columns=["input", "matches", "selection", "index_format"]).withColumn("matches", spans.usable(F.col("matches"), F.col("input")))
     return t.select("id", F.inline(sinks.payload(F.col("matches"), F.col("selection"), F.col("index_format"))).alias("match_id", "kind", "value", "start", "end", "selected", "replacement"))
 
 
@@ -87,9 +87,8 @@ FROM sp JOIN cur USING (id) LEFT JOIN (SELECT id, match_id, any_value(idx) AS id
 
 def load_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable rules with their kind; unknown modes count as exact."""
-    r = table(spark, sf_dir, "custom_rules").where(F.length("pattern") > 0)
-    name = F.trim(F.coalesce("name", F.lit("")))
-    return r.select("id", F.when(name == "", "Custom").otherwise(name).alias("kind"), scalar.rule_mode(F.col("mode")).alias("mode"), "pattern", "updated_at")
+    name = F.trim("name")
+    return rule_rows(table(spark, sf_dir, "custom_rules")).select("id", F.when(name == "", "Custom").otherwise(name).alias("kind"), "mode", "pattern", "updated_at")
 
 
 _RULES_SQL = "SELECT id, CASE WHEN trim(coalesce(name, '')) = '' THEN 'Custom' ELSE trim(name) END AS kind, CASE WHEN mode = 'regex' THEN mode ELSE 'exact' END AS mode, pattern, updated_at FROM custom_rules WHERE length(pattern) > 0"
@@ -111,7 +110,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.latest(table(spark, sf_dir, "pii_filter_results").select(*_RES), "id", "recorded_at")
 
 
-_RES_SQL = "res AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY recorded_at DESC) AS rk FROM (SELECT DISTINCT " + ", ".join(_RES) + " FROM pii_filter_results)) WHERE rk = 1)"
+_RES_SQL = "res AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY recorded_at DESC NULLS LAST) AS rk FROM (SELECT DISTINCT " + ", ".join(_RES) + " FROM pii_filter_results)) WHERE rk = 1)"
 
 
 def latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,13 +149,20 @@ _DURATION_SQL = f"WITH {_RES_SQL} SELECT id, CASE WHEN started_at IS NOT NULL TH
 
 
 def active_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tabs with a queued or running task, and how many tasks are active in all."""
-    r = _results(spark, sf_dir)
-    t = load_tabs(table(spark, sf_dir, "tabs")).select(F.col("id").alias("tab_id"))
-    return report.active_documents(t, "tab_id", r).withColumn("active", F.lit(report.active_count(r).first().active))
+    """Tabs with a queued or running task."""
+    t = load_tabs(table(spark, sf_dir, "tabs"), columns=[]).select(F.col("id").alias("tab_id"))
+    return report.active_documents(t, "tab_id", _results(spark, sf_dir))
+
+
+_ACTIVE_SQL = f"WITH {_RES_SQL} SELECT DISTINCT id AS tab_id FROM tabs WHERE id IN (SELECT tab_id FROM res WHERE status IN ('queued', 'running'))"
+
 
+def active_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tasks are queued or running."""
+    return report.active_count(_results(spark, sf_dir))
 
-_ACTIVE_SQL = f"WITH {_RES_SQL} SELECT DISTINCT id AS tab_id, (SELECT count(*) FROM res WHERE status IN ('queued', 'running')) AS active FROM tabs WHERE id IN (SELECT tab_id FROM res WHERE status IN ('queued', 'running'))"
+
+_ACTIVE_COUNT_SQL = f"WITH {_RES_SQL} SELECT count(*) AS active FROM res WHERE status IN ('queued', 'running')"
 
 
 def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +177,7 @@ SELECT backend, c.kind AS kind, sum(c.count)::BIGINT AS count, count(*) AS tasks
 
 def task_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tab each task belongs to: open, closed, or gone."""
-    t = load_tabs(table(spark, sf_dir, "tabs")).select(F.col("id").alias("tab_id"), "is_closed")
+    t = load_tabs(table(spark, sf_dir, "tabs"), columns=["is_closed"]).withColumnRenamed("id", "tab_id")
     r = _results(spark, sf_dir).select("id", "tab_id")
     return r.join(t, "tab_id", "left").select("id", F.when(F.col("is_closed").isNull(), "gone").when(F.col("is_closed"), "closed").otherwise("open").alias("where"))
 
@@ -195,19 +201,19 @@ UNION ALL SELECT id, NULL, NULL FROM res WHERE input_length IS NULL"""
 
 
 def persist_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task results after the newer half was written over the older half."""
+    """Task results after the newer half was written over the older half; rows without a time count as older than all."""
     r = table(spark, sf_dir, "pii_filter_results").select(*_RES)
-    cut = F.lit("2025-07-01").cast("timestamp")
-    old = report.latest(r.where(F.col("recorded_at") < cut), "id", "recorded_at")
-    return sinks.upserted(old, r.where(F.col("recorded_at") >= cut), "id", "recorded_at").select("id", "status", "recorded_at")
+    late = F.coalesce(F.col("recorded_at") >= F.lit("2025-07-01").cast("timestamp"), F.lit(False))
+    old = report.latest(r.where(~late), "id", "recorded_at")
+    return sinks.upserted(old, r.where(late), "id", "recorded_at").select("id", "status", "recorded_at")
 
 
-_UPSERT_SQL = f"WITH {_RES_SQL} SELECT id, status, recorded_at FROM res WHERE recorded_at IS NOT NULL"
+_UPSERT_SQL = f"WITH {_RES_SQL} SELECT id, status, recorded_at FROM res"
 
 
 def persist_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What saving only the open tabs does to each stored tab."""
-    tabs = load_tabs(table(spark, sf_dir, "tabs")).select("id", "is_closed")
+    tabs = load_tabs(table(spark, sf_dir, "tabs"), columns=["is_closed"])
     return sinks.merge_delta(tabs, tabs.where("NOT is_closed"), "id")
 
 
@@ -215,18 +221,18 @@ _PRUNE_SQL = f"WITH {_TABS_SQL} SELECT id, CASE WHEN coalesce(is_closed, 0) = 0
 
 
 def persist_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results that stay when those of closed tabs are deleted."""
-    gone = load_tabs(table(spark, sf_dir, "tabs"), closed=True).select(F.col("id").alias("tab_id"))
-    return sinks.deleted(_results(spark, sf_dir).where("tab_id IS NOT NULL"), "tab_id", gone).select("id", "tab_id")
+    """Results that stay when those of closed tabs are deleted; those of no tab stay."""
+    gone = load_tabs(table(spark, sf_dir, "tabs"), closed=True, columns=[]).select(F.col("id").alias("tab_id"))
+    return sinks.deleted(_results(spark, sf_dir), "tab_id", gone).select("id", "tab_id")
 
 
-_DELETE_SQL = f"WITH {_TABS_SQL}, {_RES_SQL} SELECT id, tab_id FROM res WHERE tab_id IS NOT NULL AND tab_id NOT IN (SELECT id FROM cur WHERE coalesce(is_closed, 0) <> 0)"
+_DELETE_SQL = f"WITH {_TABS_SQL}, {_RES_SQL} SELECT id, tab_id FROM res WHERE tab_id IS NULL OR tab_id NOT IN (SELECT id FROM cur WHERE coalesce(is_closed, 0) <> 0)"
 
 # ------------------------------------------------------------------ pages
 
 
 def _pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_tabs(table(spark, sf_dir, "tabs")).where("pdf_document IS NOT NULL").select("id", "pdf_document", "matches", "selection")
+    return load_tabs(table(spark, sf_dir, "tabs"), columns=["pdf_document", "matches", "selection"]).where("pdf_document IS NOT NULL")
 
 
 _PDF_SQL = """pd AS (SELECT id, from_json(pj, '{"text":"VARCHAR","pages":[{"index":"INTEGER","width":"DOUBLE","height":"DOUBLE"}],"charBoxes":[{"pageIndex":"INTEGER","x":"DOUBLE","y":"DOUBLE","width":"DOUBLE","height":"DOUBLE"}]}') AS d FROM cur WHERE json_valid(pj) AND json_type(pj) = 'OBJECT'),
@@ -328,12 +334,9 @@ def _source(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFra
 
 
 def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-mail spans found on a stream of documents."""
-    from veilspan.catalog import RULES
-    from veilspan.operators.detect import built_in
-
-    rows = stream.detected(_source(spark, sf_dir, "documents", _DOC_SCHEMA), "doc_id", "text", [built_in(RULES[:1])])
-    return _streamed(spark, rows.select("doc_id", "value", "start"))
+    """Spans of all rules found on a stream of documents."""
+    rows = stream.detected(_source(spark, sf_dir, "documents", _DOC_SCHEMA), "doc_id", "text")
+    return _streamed(spark, rows.select("doc_id", "kind", "value", "start"))
 
 
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,11 +346,8 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_sql() -> str:
-    from veilspan.catalog import RULES
-    from veilspan.plans.span_queries import rule_sql
-
-    ctes, select = rule_sql(RULES[0], "documents")
-    return f"WITH {ctes} SELECT doc_id, value, start FROM ({select})"
+    ctes, select = _all_rules_sql("documents")
+    return f"WITH {ctes} SELECT doc_id, kind, value, start FROM ({select})"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"load_tabs_open": _load(False), "load_tabs_closed": _load(True)}
@@ -363,6 +363,7 @@ for _query, _sql in (
     (history_page, _PAGE_SQL),
     (task_durations, _DURATION_SQL),
     (active_tasks, _ACTIVE_SQL),
+    (active_count, _ACTIVE_COUNT_SQL),
     (history_summary, _HSUM_SQL),
     (task_documents, _TASKDOC_SQL),
     (size_labels, _SIZE_SQL),

@@ -94,7 +94,9 @@ def current_tabs(tabs: DataFrame, columns: list[str]) -> DataFrame:
     version = F.coalesce(F.col(TAB_VERSION), F.lit(-(2**62)))
     return (
         tabs.groupBy(TAB_KEY)
-        .agg(F.max_by(F.struct(*rest), version).alias("_row"))
+        .agg(F.max_by(F.struct(*rest) if rest else F.struct(F.lit(None).alias("_")), version).alias("_row"))
+        # Always true; keeps what follows out of the aggregate, where no Arrow function may stand.
+        .where(F.col("_row").isNotNull())
         .select(TAB_KEY, *[F.col(f"_row.{c}").alias(c) for c in rest])
     )
 

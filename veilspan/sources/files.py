@@ -40,43 +40,52 @@ def read_markdown(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("path", file_name(F.col("path")).alias("file_name"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def load_tabs(tabs: DataFrame, closed: bool | None = None) -> DataFrame:
+def load_tabs(tabs: DataFrame, closed: bool | None = None, columns: list[str] | None = None) -> DataFrame:
     """Current tabs with parsed columns and defaults for unknown values.
 
-    ``closed`` picks open or closed ones. Unusable JSON gives an empty list, map or null.
-    Order for display: ``orderBy('sort_order', 'updated_at')``.
+    ``closed`` picks open or closed ones. ``columns`` names the result's columns besides ``id``;
+    only what they are made of is read and travels through the shuffle. Unusable JSON gives an
+    empty list, map or null. Order for display: ``orderBy('sort_order', 'updated_at')``.
     """
-    columns = ["title", "document_kind", "input", "output", "matches_json", "selection_json", "index_format", "mode", "restore_input", "restore_output", "pdf_document_json", "is_closed", "sort_order", "updated_at"]
-    rows = current_tabs(tabs, columns)
-    if closed is not None:
-        rows = rows.where(F.coalesce(F.col("is_closed"), F.lit(0)) == int(closed))
     spans = F.transform(
         parsed_json(F.col("matches_json"), _STORED_SPAN),
         lambda s: F.struct(s["id"].alias("match_id"), s["kind"].alias("kind"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end")),
     )
-    return rows.select(
-        "id",
-        "title",
-        document_kind(F.col("document_kind")).alias("document_kind"),
-        F.coalesce("input", F.lit("")).alias("input"),
-        F.coalesce("output", F.lit("")).alias("output"),
-        F.coalesce(spans, F.array().cast(f"array<{SPAN}>")).alias("matches"),
-        F.coalesce(parsed_json(F.col("selection_json"), "map<string,boolean>"), F.create_map().cast("map<string,boolean>")).alias("selection"),
-        index_format(F.col("index_format")).alias("index_format"),
-        workflow_mode(F.col("mode")).alias("mode"),
-        F.coalesce("restore_input", F.lit("")).alias("restore_input"),
-        F.coalesce("restore_output", F.lit("")).alias("restore_output"),
-        parsed_json(F.col("pdf_document_json"), PDF_DOCUMENT).alias("pdf_document"),
-        (F.coalesce("is_closed", F.lit(0)) != 0).alias("is_closed"),
-        "sort_order",
-        "updated_at",
-    )
+    text = lambda c: (c, F.coalesce(c, F.lit("")))
+    made = {
+        "title": ("title", F.col("title")),
+        "document_kind": ("document_kind", document_kind(F.col("document_kind"))),
+        "input": text("input"),
+        "output": text("output"),
+        "matches": ("matches_json", F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))),
+        "selection": ("selection_json", F.coalesce(parsed_json(F.col("selection_json"), "map<string,boolean>"), F.create_map().cast("map<string,boolean>"))),
+        "index_format": ("index_format", index_format(F.col("index_format"))),
+        "mode": ("mode", workflow_mode(F.col("mode"))),
+        "restore_input": text("restore_input"),
+        "restore_output": text("restore_output"),
+        "pdf_document": ("pdf_document_json", parsed_json(F.col("pdf_document_json"), PDF_DOCUMENT)),
+        "is_closed": ("is_closed", F.coalesce("is_closed", F.lit(0)) != 0),
+        "sort_order": ("sort_order", F.col("sort_order")),
+        "updated_at": ("updated_at", F.col("updated_at")),
+    }
+    wanted = [c for c in (list(made) if columns is None else columns) if c != "id"]
+    stored = [made[c][0] for c in wanted]
+    if closed is not None and "is_closed" not in stored:
+        stored.append("is_closed")
+    rows = current_tabs(tabs, stored)
+    if closed is not None:
+        rows = rows.where(F.coalesce(F.col("is_closed"), F.lit(0)) == int(closed))
+    return rows.select("id", *[made[c][1].alias(c) for c in wanted])
+
+
+def rule_rows(rules: DataFrame) -> DataFrame:
+    """(id, name, mode, pattern, updated_at) of the stored rules: empty patterns dropped, unknown modes exact, null names empty."""
+    return rules.where(F.length("pattern") > 0).select("id", F.coalesce("name", F.lit("")).alias("name"), rule_mode(F.col("mode")).alias("mode"), "pattern", "updated_at")
 
 
 def load_rules(rules: DataFrame) -> list[UserRule]:
-    """The user's rules by age: empty patterns dropped, unknown modes exact. A list the user keeps by hand."""
-    rows = rules.where(F.length("pattern") > 0).select("id", F.coalesce("name", F.lit("")).alias("name"), rule_mode(F.col("mode")).alias("mode"), "pattern", "updated_at")
-    return [UserRule(r.id, r.name, r.mode, r.pattern) for r in rows.orderBy("updated_at", "id").toLocalIterator()]
+    """The user's rules by age. A list the user keeps by hand."""
+    return [UserRule(r.id, r.name, r.mode, r.pattern) for r in rule_rows(rules).orderBy("updated_at", "id").toLocalIterator()]
 
 
 def load_history(results: DataFrame, limit: int = 200) -> DataFrame:

@@ -9,26 +9,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.functions.let import let
 from veilspan.functions.scalar import result_file_name, safe_segment
+from veilspan.operators import scan
 from veilspan.operators.report import latest
 from veilspan.operators.spans import label, selected
 
 
 def payload(spans: Column, selection: Column, index_format: Column) -> Column:
     """array<struct<id, kind, value, start, end, selected, replacement>> of all spans in stored order."""
-    def rows(chosen: Column) -> Column:
-        at = lambda s: F.array_position(chosen, s["match_id"])
-        return F.transform(
-            spans,
-            lambda s: F.struct(
-                s["match_id"].alias("id"), s["kind"].alias("kind"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"),
-                (at(s) > 0).alias("selected"),
-                F.when(at(s) > 0, label(s["kind"], at(s), index_format)).alias("replacement"),
-            ),
-        )
-
-    return let(F.transform(selected(spans, selection), lambda s: s["match_id"]), rows)
+    chosen = F.transform(selected(spans, selection), lambda s: s["match_id"])
+    return F.transform(
+        scan.ranked(spans, chosen),
+        lambda s: F.struct(
+            s["match_id"].alias("id"), s["kind"].alias("kind"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"),
+            (s["rank"] > 0).alias("selected"),
+            F.when(s["rank"] > 0, label(s["kind"], s["rank"], index_format)).alias("replacement"),
+        ),
+    )
 
 
 def write_results(results: DataFrame, folder: str) -> None:
