@@ -126,7 +126,7 @@ def test_stream_upserts(spark, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     rows = stream.read_documents(spark, str(src), "id string, v int, text string")
     stream.upsert_batches(rows, out, state, "id", "v").awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("a", 2, "none")]
+    assert [tuple(r) for r in stream.upserted_table(spark, out, "id", "v").collect()] == [("a", 2, "none")]
     found = stream.detected(stream.read_documents(spark, str(src), "id string, v int, text string"), "id")
     stream.run_to_table(found, str(tmp_path / "f"), str(tmp_path / "fs")).awaitTermination()
     assert [r.value for r in spark.read.parquet(str(tmp_path / "f")).collect()] == ["x@y.org"]

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions import scalar
-from veilspan.operators import chunk, model, pdfgeo, report, spans
+from veilspan.operators import chunk, document, model, pdfgeo, report, spans, verify
+from veilspan.operators.detect import built_in
 from veilspan.plans.span_queries import _TABS_SQL, _all_rules_sql, _label_sql, quoted
 from veilspan.session import parsed_json, shared_dir, spread, table
 from veilspan.sources import sinks
@@ -281,6 +282,85 @@ def pdf_page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLAN_SQL = f"""WITH bxs AS ({_LINES_SQL}), {_TABS_SQL}, {_PDF_SQL}, n AS (SELECT id, unnest(range(0, len(d.pages)))::INT AS page_index FROM pd)
 SELECT n.id, n.page_index, CASE WHEN h.doc_id IS NULL THEN 'copy' ELSE 'cover' END AS strategy FROM n LEFT JOIN (SELECT DISTINCT doc_id, page_index FROM bxs) h ON h.doc_id = n.id AND h.page_index = n.page_index"""
 
+# ------------------------------------------------------------------ documents
+
+
+def _panes(view: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = load_tabs(table(spark, sf_dir, "tabs"), columns=["input", "output", "matches", "selection", "index_format", "mode", "restore_input", "restore_output"])
+        rows = document.pane_segments(t.withColumn("matches", spans.usable(F.col("matches"), F.col("input"))), view)
+        marked = F.aggregate("segments", F.lit(0), lambda a, s: a + F.size(s["match_ids"]))
+        return rows.select("id", F.size("segments").alias("segments"), marked.alias("marks"), F.length(F.array_join(F.transform("segments", lambda s: s["text"]), "")).alias("chars"))
+
+    query.__doc__ = f"Segments, marks and characters of the {view} pane of every tab."
+    return query
+
+
+def documents_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths after the inputs of closed tabs and the outputs of open ones were cleared."""
+    columns = ["document_kind", "input", "output", "matches", "mode", "restore_input", "restore_output", "is_closed"]
+    t = document.cleared_input(load_tabs(table(spark, sf_dir, "tabs"), columns=columns), F.col("is_closed"))
+    t = document.cleared_output(t, ~F.col("is_closed"))
+    return t.select("id", "document_kind", *[F.length(c).alias(c) for c in ("input", "output", "restore_input", "restore_output")], F.size("matches").alias("matches"))
+
+
+_CLEARED_SQL = f"""WITH {_TABS_SQL}, t AS (SELECT cur.id, mode = 'pii-to-text' AS r, coalesce(is_closed, 0) <> 0 AS c, CASE WHEN dk IN ('markdown', 'pdf') THEN dk ELSE 'text' END AS dk, length(coalesce(input, '')) AS i, length(coalesce(output, '')) AS o,
+ length(coalesce(ri, '')) AS ri, length(coalesce(ro, '')) AS ro, coalesce(n, 0) AS n FROM cur JOIN (SELECT id, any_value(restore_input) AS ri, any_value(restore_output) AS ro FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rk FROM tabs) WHERE rk = 1 GROUP BY id) USING (id)
+ LEFT JOIN (SELECT id, count(*) AS n FROM ms GROUP BY id) USING (id))
+SELECT id, CASE WHEN c AND NOT coalesce(r, false) THEN 'text' ELSE dk END AS document_kind, CASE WHEN c AND NOT coalesce(r, false) THEN 0 ELSE i END AS input, CASE WHEN NOT coalesce(r, false) THEN 0 ELSE o END AS output,
+CASE WHEN c THEN 0 ELSE ri END AS restore_input, 0 AS restore_output, CASE WHEN NOT coalesce(r, false) THEN 0 ELSE n END AS matches FROM t"""
+
+
+def entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of spans that follow from tab, kind and place."""
+    r = table(spark, sf_dir, "redact_matches").select("tab_id", "kind", "start").distinct()
+    return r.select("tab_id", "kind", "start", document.entity_id("span", F.col("tab_id"), F.col("kind"), F.col("start")).alias("entity_id"))
+
+
+_ENTITY_SQL = """SELECT tab_id, kind, start, 'span-' || substr(sha256(coalesce('+' || tab_id, '-') || chr(31) || coalesce('+' || kind, '-') || chr(31) || coalesce('+' || start, '-')), 1, 32) AS entity_id
+FROM (SELECT DISTINCT tab_id, kind, start FROM redact_matches)"""
+
+
+def import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tab titles taken as file names: how many an import takes and how many not."""
+    return document.import_counts(table(spark, sf_dir, "tabs").where("title IS NOT NULL").select(F.col("title").alias("path")).distinct())
+
+
+_IMPORT_SQL = """WITH f AS (SELECT DISTINCT regexp_extract(title, '[^\\/]*$') AS fn, title FROM tabs WHERE title IS NOT NULL),
+e AS (SELECT CASE WHEN position('.' IN substr(fn, 2)) > 0 THEN lower(regexp_extract(fn, '[^.]*$')) ELSE '' END IN ('md', 'markdown', 'txt', 'text', 'pdf') AS ok FROM f)
+SELECT count(*) AS files, count(*) FILTER (ok) AS supported, count(*) FILTER (NOT ok) AS unsupported FROM e"""
+
+
+def page_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans the output preview of PDF tabs marks."""
+    t = load_tabs(table(spark, sf_dir, "tabs"), columns=["document_kind", "input", "matches", "selection"]).where("document_kind = 'pdf'")
+    return document.overlays(t.withColumn("matches", spans.usable(F.col("matches"), F.col("input"))), "output").select("id", "match_id", "start", "end")
+
+
+_OVERLAY_SQL = f"WITH {_TABS_SQL} SELECT chosen.id, match_id, start, \"end\" FROM chosen JOIN cur USING (id) WHERE dk = 'pdf'"
+
+
+def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tabs after the first 500 characters of each were scanned again by all rules: spans that stay and new ones."""
+    t = load_tabs(table(spark, sf_dir, "tabs"), columns=["input", "output", "matches", "selection", "index_format"])
+    t = t.withColumn("matches", spans.usable(F.col("matches"), F.col("input")))
+    found = t.select("id", F.lit(0).alias("start"), F.lit(500).alias("end"), built_in()(F.substring("input", 1, 500)).alias("found"))
+    rows = document.merged_results(t, found)
+    return rows.select("id", F.inline("matches")).select("id", "kind", "start", "end")
+
+
+_CHUNK_CTES, _CHUNK_SELECT = _all_rules_sql("(SELECT id, substr(input, 1, 500) AS text FROM cur)", "id")
+_CHUNK_SQL = f'WITH {_TABS_SQL}, {_CHUNK_CTES} SELECT id, kind, start, "end" FROM sp WHERE NOT (start < 500 AND "end" > 0) UNION ALL SELECT id, kind, start, "end" FROM ({_CHUNK_SELECT})'
+
+
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content hashes of the current inputs, as used to verify files."""
+    t = load_tabs(table(spark, sf_dir, "tabs"), columns=["input"])
+    return t.select("id", verify.content_hash(F.col("input")).alias("sha256"), F.sha1("input").alias("sha1"))
+
+
+_HASH_SQL = f"WITH {_TABS_SQL} SELECT id, sha256(coalesce(input, '')) AS sha256, sha1(coalesce(input, '')) AS sha1 FROM cur"
+
 # ------------------------------------------------------------------ models
 
 _LABELS = ["O", "B-PER", "I-PER", "B-email address", "I-email address"]
@@ -350,7 +430,7 @@ def _stream_sql() -> str:
     return f"WITH {ctes} SELECT doc_id, kind, value, start FROM ({select})"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"load_tabs_open": _load(False), "load_tabs_closed": _load(True)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"load_tabs_open": _load(False), "load_tabs_closed": _load(True), "pane_input": _panes("input"), "pane_output": _panes("output")}
 ORACLES: dict[str, str] = {"load_tabs_open": _load_sql(0), "load_tabs_closed": _load_sql(1)}
 for _query, _sql in (
     (tab_names, _NAMES_SQL),
@@ -373,6 +453,12 @@ for _query, _sql in (
     (pdf_page_ranges, _RANGES_SQL),
     (pdf_line_boxes, _LINES_SQL),
     (pdf_page_plan, _PLAN_SQL),
+    (documents_cleared, _CLEARED_SQL),
+    (entity_ids, _ENTITY_SQL),
+    (import_counts, _IMPORT_SQL),
+    (page_overlays, _OVERLAY_SQL),
+    (chunk_merge, _CHUNK_SQL),
+    (content_hashes, _HASH_SQL),
     (model_bio_spans, None),
     (model_bioes_spans, None),
     (stream_detect, _stream_sql()),

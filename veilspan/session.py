@@ -1,8 +1,4 @@
-"""Session helpers: table access, durable intermediate tables, sizes.
-
-Nothing here keeps state on a machine-local folder when the session names a
-shared checkpoint folder (``spark.checkpoint.dir``).
-"""
+"""Session helpers: table access, durable intermediate tables, sizes."""
 
 from __future__ import annotations
 
@@ -57,31 +53,55 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; one is set only where none is configured."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's shared checkpoint folder.
+
+    Only a local session without one gets a folder of its own, which goes with the process:
+    on a cluster a machine-local folder would hold parts of a table on every machine.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     sc = spark.sparkContext
-    held = sc.getCheckpointDir()
-    if held is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilspan-"))
-        held = sc.getCheckpointDir()
-    return held
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    folder = tempfile.mkdtemp(prefix="veilspan-")
+    atexit.register(shutil.rmtree, folder, True)
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def durable(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts lineage and keeps an expensive step (tokenising, Python detectors) from
-    running twice; the files survive the loss of any executor.
+    Cuts lineage and keeps an expensive step (tokenising, Python detectors) from running
+    twice; the files survive the loss of any executor. ``clear_durable`` removes what a session
+    wrote, at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        _written[app] = []
+        atexit.register(clear_durable, spark)
+    _written[app].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_durable(spark: SparkSession) -> int:
+    """Remove the tables ``durable`` wrote in this session and tell how many; results that still read them end with it."""
+    sc = spark.sparkContext
+    paths = _written.pop(sc.applicationId, []) if sc._jsc is not None else []
+    for path in paths:
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def current_tabs(tabs: DataFrame, columns: list[str]) -> DataFrame:
     """The current row of each id: highest ``updated_at``; rows equal in both are identical.
 

@@ -29,18 +29,26 @@ def payload(spans: Column, selection: Column, index_format: Column) -> Column:
 
 
 def write_results(results: DataFrame, folder: str) -> None:
-    """JSON payloads below ``tab_id=...``; ``results`` has tab_id, completed_at and payload columns.
+    """One JSON file per result at ``tab_id/<time of completion>.json`` below a shared folder.
 
-    Rows whose tab id may not stand in a path are left out; ``file_name`` tells each result's name.
+    ``results`` has tab_id, completed_at and payload columns. Rows whose tab id may not stand
+    in a path, or without a time, are left out.
     """
-    rows = results.where(safe_segment(F.col("tab_id"))).withColumn("file_name", result_file_name(F.col("completed_at")))
-    rows.write.mode("append").partitionBy("tab_id").json(folder)
+    rest = [c for c in results.columns if c != "tab_id"]
+    rows = results.where(safe_segment(F.col("tab_id")) & F.col("completed_at").isNotNull())
+    named = rows.select(F.concat("tab_id", F.lit("/"), result_file_name(F.col("completed_at"))).alias("name"), F.to_json(F.struct("tab_id", *rest)).alias("text"))
+    write_texts(named, folder, "name", "text")
+
+
+def write_sidecars(reports: DataFrame, folder: str, name: str) -> None:
+    """The verification report of each exported file beside it: ``<name>.verification.json``."""
+    rest = [c for c in reports.columns if c != name]
+    write_texts(reports.select(F.concat(F.col(name), F.lit(".verification.json")).alias("name"), F.to_json(F.struct(*rest)).alias("text")), folder, "name", "text")
 
 
 def write_texts(df: DataFrame, folder: str, name: str, text: str) -> None:
-    """One UTF-8 file per row, named by the row, in a shared folder; names with folders are refused."""
+    """One UTF-8 file per row in a folder all machines share, named by the row: a file name, or one below folders of safe names."""
     def put(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
         for r in rows:
             _write_file(folder, r[0], r[1].encode() if isinstance(r[1], str) else bytes(r[1]))
 
@@ -48,12 +56,15 @@ def write_texts(df: DataFrame, folder: str, name: str, text: str) -> None:
 
 
 def _write_file(folder: str, name: str, data: bytes) -> None:
-    if not name or re.search(r"[\\/]", name) or name in (".", ".."):
+    *above, last = (name or "").split("/")
+    if not last or re.search(r"[\\/]", last) or last in (".", "..") or not all(re.fullmatch("[A-Za-z0-9_-]+", a) for a in above):
         raise ValueError(f"not a bare file name: {name!r}")
-    part = os.path.join(folder, f".{uuid.uuid4().hex}")
+    place = os.path.join(folder, *above)
+    os.makedirs(place, exist_ok=True)
+    part = os.path.join(place, f".{uuid.uuid4().hex}")
     with open(part, "wb") as f:
         f.write(data)
-    os.replace(part, os.path.join(folder, name))
+    os.replace(part, os.path.join(place, last))
 
 
 def write_binary(df: DataFrame, folder: str, name: str, encoded: str) -> None:
@@ -85,14 +96,26 @@ def deleted(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Replace a stored table by a result that may have been read from it: written beside, then moved."""
+    """Replace a stored table by a result that may have been read from it.
+
+    Written beside; then the old table is moved aside, the new one takes its place and the old
+    one goes. If the second move fails the old one comes back; at no time is there neither.
+    """
     spark = df.sparkSession
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    tag = uuid.uuid4().hex
+    beside, aside = f"{path.rstrip('/')}-{tag}", f"{path.rstrip('/')}-{tag}-old"
     df.write.parquet(beside)
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path))
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = fs.exists(place(path))
+    if there and not fs.rename(place(path), place(aside)):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(place(beside), place(path)):
+        if there:
+            fs.rename(place(aside), place(path))
+        raise OSError(f"cannot write {path}")
+    if there:
+        fs.delete(place(aside), True)
 
 
 def write_rules(spark: SparkSession, rules: list, path: str) -> None:
