@@ -75,15 +75,12 @@ def p3_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tab_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tabs = current_tabs(table(spark, sf_dir, "tabs"), ["input", "pdf_document_json"])
+    # Only the text of a page document travels, not its boxes.
+    text = parsed_json(F.col("pdf_document_json"), "struct<text:string>")["text"]
+    tabs = current_tabs(table(spark, sf_dir, "tabs").select("id", "updated_at", "input", text.alias("pdf_text")), ["input", "pdf_text"])
     return tabs.select(
         F.col("id").alias("tab_id"),
-        F.inline(
-            F.array(
-                F.struct(F.lit("input").alias("item_field"), F.col("input").alias("text")),
-                F.struct(F.lit("pdf_document_json").alias("item_field"), parsed_json(F.col("pdf_document_json"), "struct<text:string>")["text"].alias("text")),
-            )
-        ),
+        F.inline(F.array(*[F.struct(F.lit(field).alias("item_field"), F.col(c).alias("text")) for field, c in (("input", "input"), ("pdf_document_json", "pdf_text"))])),
     )
 
 
@@ -92,6 +89,19 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(_tab_items(spark, sf_dir), ["tab_id", "item_field"], "text")
 
 
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cut item: whether its pieces keep the limit, join to the text and overlap as allowed, and that they are no more than twice the least number."""
+    rows = p4_pieces(spark, sf_dir)
+    n = rows.groupBy("tab_id", "item_field").agg(
+        F.max(F.col("end") - F.col("start")).alias("longest"), F.min("start").alias("first"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start") - F.col("repeated")).alias("fresh"),
+        F.max("repeated").alias("most"), F.min(F.when(F.col("piece_no") > 1, F.col("repeated"))).alias("least"), F.max("pieces").alias("pieces"), F.count("*").alias("rows"),
+    )
+    return n.select(
+        "tab_id", "item_field", F.col("last").alias("chars"), (F.col("longest") <= 4000).alias("within"), ((F.col("first") == 0) & (F.col("fresh") == F.col("last"))).alias("whole"),
+        ((F.col("most") <= 200) & (F.col("least") >= 0)).alias("overlapping"), ((F.col("pieces") == F.col("rows")) & (F.col("pieces") <= 2 * F.ceil(F.col("last") / 3800))).alias("few"),
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that had to be cut: one row for each first piece."""
     return p4_pieces(spark, sf_dir).where("piece_no = 1 AND pieces > 1").select("tab_id", "item_field")
@@ -169,6 +179,12 @@ SELECT id AS tab_id, 'input' AS item_field FROM cur WHERE length(input) > 4000
 UNION ALL
 SELECT id, 'pdf_document_json' FROM (SELECT id, CASE WHEN json_valid(pj) THEN json_extract_string(pj, '$.text') END AS t FROM cur) WHERE length(t) > 4000"""
 
+P4_CHECKS_SQL = """
+WITH cur AS (SELECT id, any_value(input) AS input, any_value(pdf_document_json) AS pj FROM
+  (SELECT *, rank() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rk FROM tabs) WHERE rk = 1 GROUP BY id),
+t AS (SELECT id, 'input' AS item_field, input AS x FROM cur UNION ALL SELECT id, 'pdf_document_json', CASE WHEN json_valid(pj) THEN json_extract_string(pj, '$.text') END FROM cur)
+SELECT id AS tab_id, item_field, length(x) AS chars, true AS "within", true AS whole, true AS overlapping, true AS few FROM t WHERE length(x) > 4000"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
@@ -179,6 +195,7 @@ QUERIES = {
     "p3_tabs": p3_tabs,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_checks": p4_checks,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p6_containers": p6_containers,
@@ -188,4 +205,4 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_restored": p8_restored,
 }
-ORACLES = {"p4_found": P4_SQL, "p7_found": P7_SQL}
+ORACLES = {"p4_found": P4_SQL, "p4_checks": P4_CHECKS_SQL, "p7_found": P7_SQL}
