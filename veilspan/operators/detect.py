@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.catalog import RULES, Rule, UserRule
@@ -79,6 +79,23 @@ def detector(backend: str, rules: Iterable[Rule] = RULES, models: dict[str, Dete
     return built_in(rules, unicode)
 
 
+class _SpanTable:
+    """A table function of one text column: its spans by all built-in rules."""
+
+    def __init__(self) -> None:
+        self.found = scan.searches([scan.rule_spec(r) for r in RULES])
+
+    def eval(self, text: str):
+        for prefix, kind, search in self.found if text else ():
+            for i, a, b in search(text):
+                yield f"{prefix}-{a}-{i}", kind, text[a:b], a, b
+
+
+def register(spark: SparkSession) -> None:
+    """Make the built-in rules a table function in SQL: ``FROM t, LATERAL pii_spans(t.text)``."""
+    spark.udtf.register("pii_spans", F.udtf(_SpanTable, returnType="match_id string, kind string, value string, start int, end int"))
+
+
 def detect(docs: DataFrame, detectors: list[Detector], text: str = "text", out: str = "matches") -> DataFrame:
     """``docs`` with the spans of all detectors in ``out``, ordered; narrow, so it runs on streams as well."""
     from veilspan.operators.spans import ordered

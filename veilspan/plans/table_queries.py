@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import scalar
 from veilspan.operators import chunk, document, model, pdfgeo, report, spans, verify
-from veilspan.operators.detect import built_in
+from veilspan.operators.detect import built_in, register
 from veilspan.plans.span_queries import _TABS_SQL, _all_rules_sql, _label_sql, quoted
 from veilspan.session import parsed_json, shared_dir, spread, table
 from veilspan.sources import sinks
@@ -250,6 +250,30 @@ def pdf_page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANGES_SQL = f'WITH {_TABS_SQL}, {_PDF_SQL} SELECT bx.id, b.pageIndex AS page, min(pos)::INT AS start, (max(pos) + 1)::INT AS "end" FROM bx JOIN pg ON pg.id = bx.id AND pg.page = b.pageIndex GROUP BY 1, 2'
 
 
+def pdf_span_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the spans of PDF tabs stand in the page text: at their own place, or where their value is nearest."""
+    rows = _pdf(spark, sf_dir).select("id", F.col("pdf_document.text").alias("text"), F.inline("matches")).where("start IS NOT NULL AND `end` IS NOT NULL AND text IS NOT NULL")
+    at = pdfgeo.drifted_range(F.col("text"), F.col("value"), F.col("start"), F.col("end"))
+    return rows.select("id", "match_id", F.col("start").alias("stored_start"), F.col("end").alias("stored_end"), at.alias("r")).select("id", "match_id", "stored_start", "stored_end", "r.start", "r.end")
+
+
+_BLANK_ENDS = "'^[\\s\\x{00A0}\\x{FEFF}\\x{3000}\\x{2000}-\\x{200A}\\x{202F}]+|[\\s\\x{00A0}\\x{FEFF}\\x{3000}\\x{2000}-\\x{200A}\\x{202F}]+$'"
+
+
+def _nearest_sql(name: str, value: str) -> str:
+    """CTE ``name``(k, pos): the occurrence of a value nearest to its stored start, the earlier of two."""
+    return f"""{name} AS (SELECT k, arg_min(pos, abs(pos - s)::BIGINT * 1000000000 + pos) AS pos FROM (SELECT k, s, (list_sum(list_transform(g[1:i], lambda x: length(x))) + (i - 1) * length({value}))::INT AS pos
+  FROM (SELECT k, s, {value}, g, unnest(range(1, len(g))) AS i FROM (SELECT k, s, {value}, string_split(text, {value}) AS g FROM m WHERE length({value}) > 0 AND contains(text, {value})))) GROUP BY k)"""
+
+
+_DRIFT_SQL = f"""WITH {_TABS_SQL}, m AS (SELECT row_number() OVER () AS k, ms.id, m.id AS match_id, m.start AS s, m."end" AS e, m.value AS v, CASE WHEN length(t) >= 2 AND t <> m.value THEN t END AS sv, text
+  FROM (SELECT ms.id, m, regexp_replace(m.value, {_BLANK_ENDS}, '', 'g') AS t FROM ms) ms JOIN (SELECT id, CASE WHEN json_valid(pj) THEN json_extract_string(pj, '$.text') END AS text FROM cur) p USING (id)
+  WHERE m.start IS NOT NULL AND m."end" IS NOT NULL AND text IS NOT NULL),
+{_nearest_sql('a', 'v')}, {_nearest_sql('b', 'sv')}
+SELECT id, match_id, s AS stored_start, e AS stored_end, CASE WHEN keep THEN s ELSE pos END AS start, CASE WHEN keep THEN e ELSE pos + length(v) END AS "end"
+FROM (SELECT m.*, coalesce(a.pos, b.pos) AS pos, coalesce(length(v), 0) = 0 OR substr(text, s + 1, e - s) = v OR coalesce(a.pos, b.pos) IS NULL AS keep FROM m LEFT JOIN a USING (k) LEFT JOIN b USING (k))"""
+
+
 def pdf_line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded line boxes of the selected spans of PDF tabs."""
     docs = _pdf(spark, sf_dir)
@@ -425,6 +449,18 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, rows.select("match_id", "kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def sql_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all rules through the table function in SQL, counted per kind."""
+    register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("_veilspan_documents")
+    return spark.sql("SELECT kind, count(*) AS n, sum(s.start) AS starts FROM _veilspan_documents, LATERAL pii_spans(text) s GROUP BY kind")
+
+
+def _sql_spans() -> str:
+    ctes, select = _all_rules_sql("documents")
+    return f"WITH {ctes} SELECT kind, count(*) AS n, sum(start)::BIGINT AS starts FROM ({select}) GROUP BY kind"
+
+
 def _stream_sql() -> str:
     ctes, select = _all_rules_sql("documents")
     return f"WITH {ctes} SELECT doc_id, kind, value, start FROM ({select})"
@@ -451,6 +487,7 @@ for _query, _sql in (
     (persist_prune, _PRUNE_SQL),
     (persist_delete, _DELETE_SQL),
     (pdf_page_ranges, _RANGES_SQL),
+    (pdf_span_ranges, _DRIFT_SQL),
     (pdf_line_boxes, _LINES_SQL),
     (pdf_page_plan, _PLAN_SQL),
     (documents_cleared, _CLEARED_SQL),
@@ -461,6 +498,7 @@ for _query, _sql in (
     (content_hashes, _HASH_SQL),
     (model_bio_spans, None),
     (model_bioes_spans, None),
+    (sql_spans, _sql_spans()),
     (stream_detect, _stream_sql()),
     (stream_distinct, "SELECT kind, count(*) AS n FROM (SELECT match_id, any_value(kind) AS kind FROM redact_matches GROUP BY match_id) GROUP BY kind"),
 ):
