@@ -109,6 +109,11 @@ def _ids(prefix: str, start: int, ordinal: int) -> str:
     return f"{prefix}-{start}-{ordinal}"
 
 
+def _once(run: Callable) -> Callable:
+    """The function as one the optimizer neither repeats in a filter it infers nor moves below an exchange: a scan is dear."""
+    return run.asNondeterministic()
+
+
 def span_scan(specs: list[Spec]) -> Callable[[Column], Column]:
     """Text column -> array of the spans of all specs, in their order; null texts have none."""
     held = tuple(specs)
@@ -124,7 +129,7 @@ def span_scan(specs: list[Spec]) -> Callable[[Column], Column]:
         return out.array()
 
     run.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, f"array<{SPAN}>")
+    return _once(F.arrow_udf(run, f"array<{SPAN}>"))
 
 
 def residual_scan(specs: list[Spec]) -> Callable[[Column, Column], Column]:
@@ -145,7 +150,7 @@ def residual_scan(specs: list[Spec]) -> Callable[[Column, Column], Column]:
         return out.array()
 
     run.__annotations__ = {"text": pa.Array, "values": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<struct<kind:string,start:int,end:int>>")
+    return _once(F.arrow_udf(run, "array<struct<kind:string,start:int,end:int>>"))
 
 
 def _typed(fn: Callable, n: int) -> Callable:
