@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +13,7 @@ from veilspan.functions import scalar
 from veilspan.operators import chunk, document, model, pdfgeo, report, spans, verify
 from veilspan.operators.detect import built_in, register
 from veilspan.plans.span_queries import _TABS_SQL, _all_rules_sql, _label_sql, quoted
-from veilspan.session import parsed_json, shared_dir, spread, table
+from veilspan.session import own_folder, parsed_json, spread, table
 from veilspan.sources import sinks
 from veilspan.sources.files import load_history, load_tabs, rule_rows
 from veilspan.streaming import stream
@@ -426,7 +425,7 @@ _MATCH_SCHEMA = "match_id string, tab_id string, task_id string, kind string, va
 
 def _streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Run a stream over what is there and read its table back."""
-    at = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = own_folder(spark, "stream")
     stream.run_to_table(rows, f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{at}/out")
 

@@ -74,6 +74,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder that ``clear_durable`` will remove."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        _written[app] = []
+        atexit.register(clear_durable, spark)
+    _written[app].append(path)
+    return path
+
+
 def durable(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -82,18 +93,13 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
     wrote, at the latest when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    app = spark.sparkContext.applicationId
-    if app not in _written:
-        _written[app] = []
-        atexit.register(clear_durable, spark)
-    _written[app].append(path)
+    path = own_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_durable(spark: SparkSession) -> int:
-    """Remove the tables ``durable`` wrote in this session and tell how many; results that still read them end with it."""
+    """Remove what this session wrote to the shared folder and tell how many; results that still read them end with it."""
     sc = spark.sparkContext
     paths = _written.pop(sc.applicationId, []) if sc._jsc is not None else []
     for path in paths:
